@@ -1 +1,55 @@
-"""Queries of the core operators."""
+"""Queries of the core operators with the SQL that checks them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mathquarry.operators import orphans
+from mathquarry.plans.registry import query
+from mathquarry.session import table
+
+# ------------------------------------------------------------------ references to records that do not exist
+
+P4_SQL = r"""
+WITH refs0 AS (
+  SELECT 'paragraph2' AS table_name, document, paragraph_id,
+         unnest(regexp_extract_all(text, '(?i)(?:<|&lt;)fid\b([^<>&]*(?:&(?:quot|apos|nbsp|#[0-9]+);[^<>&]*)*)(?:>|&gt;)', 1)) AS raw, loaded_at
+  FROM paragraph2 WHERE document IS NOT NULL
+), refs1 AS (
+  SELECT table_name, document, paragraph_id, document AS scope,
+         regexp_replace(raw, '&[a-z0-9#]+;|[\s"''/=`\x{a0}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}\x{2018}-\x{201f}]', '', 'g') AS ref_key, loaded_at
+  FROM refs0
+  UNION ALL
+  SELECT 'theorem', document, paragraph_id, '',
+         regexp_replace(regexp_replace(lower(regexp_replace(document, '[\s\x{a0}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]', '', 'g')), '^(?:arxiv:)+', ''), 'v[0-9]+$', ''), loaded_at
+  FROM theorem WHERE document IS NOT NULL
+), refs AS (
+  SELECT table_name, document, paragraph_id, scope, ref_key, min(loaded_at) AS first FROM refs1 WHERE ref_key <> '' GROUP BY ALL
+), loads AS (
+  SELECT scope, ref_key, min(ts) AS first_load, max(ts) AS last_load FROM (
+    SELECT document AS scope, formula_id AS ref_key, loaded_at AS ts FROM formula UNION ALL SELECT '', lower(id), loaded_at FROM document)
+  GROUP BY ALL
+), gone AS (
+  SELECT CASE table_name WHEN 'formula' THEN document ELSE '' END AS scope, CASE table_name WHEN 'formula' THEN formula_id ELSE lower(document) END AS ref_key, max(withdrawn_at) AS ts
+  FROM withdrawn GROUP BY ALL
+), found AS (
+  SELECT r.*, CASE WHEN first_load IS NULL OR last_load <= g.ts THEN CASE WHEN g.ts IS NULL THEN 'missing' ELSE 'deleted' END WHEN first_load > r.first THEN 'late' END AS state
+  FROM refs r LEFT JOIN loads l USING (scope, ref_key) LEFT JOIN gone g USING (scope, ref_key)
+)
+"""
+
+
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.article_references(*(table(spark, d, t) for t in ("paragraph2", "theorem", "formula", "document", "withdrawn")))
+
+
+@query(P4_SQL + "SELECT table_name, document, paragraph_id, ref_key, state FROM found WHERE state IS NOT NULL")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _orphans(spark, d).drop("first")
+
+
+@query(P4_SQL + "SELECT table_name, strftime(first, '%Y-%m') AS month, state, count(*) AS n_references FROM found WHERE state IS NOT NULL GROUP BY ALL")
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan references per citing table and month of loading."""
+    return _orphans(spark, d).groupBy("table_name", F.date_format("first", "yyyy-MM").alias("month"), "state").agg(F.count("*").alias("n_references"))
