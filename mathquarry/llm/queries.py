@@ -7,14 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mathquarry.llm import encode, pack, split
-from mathquarry.session import materialize, table
+from mathquarry.llm import encode, ngrams, pack, split, words
+from mathquarry.session import distinct_records, materialize, table
 
 #: Parameters of production.
+RARE_RECORDS, COMMON_SHARE, NGRAM_LENGTH = 3, 10, 3
 CAPACITY = 2048
 PIECE_LIMIT, PIECE_OVERLAP = 512, 64
 
 
+def _term_tables(spark: SparkSession, sf_dir: str):
+    """The fields of problem 2: name, one text of each record, how it is cut into terms."""
+    for name, column, key, terms_of in (("theorem", "text", ["document", "paragraph_id"], words.words), ("formula", "c_math_ml", ["document", "formula_id"], words.content_terms)):
+        records = distinct_records(table(spark, sf_dir, name).select(*key, column))
+        yield f"{name}.{column}", records.select(column), terms_of
+
+
+def _marked(spark: SparkSession, sf_dir: str, sigma: int) -> DataFrame:
+    """All n-grams of both fields, with the mark of those too rare or too common."""
+    parts = [ngrams.ngram_counts(texts, terms_of, sigma).withColumn("field", F.lit(field)) for field, texts, terms_of in _term_tables(spark, sf_dir)]
+    counts = materialize(parts[0].unionByName(parts[1]), "ngrams")
+    totals = {r["field"]: r["n"] for r in counts.filter(F.size("ngram") == 0).groupBy("field").agg(F.sum("n_records").alias("n")).collect()}  # two rows
+    total = F.lit(None).cast("long")
+    for field, n in totals.items():
+        total = F.when(F.col("field") == field, F.lit(n)).otherwise(total)
+    mark = F.when(F.col("n_records") < RARE_RECORDS, "rare").when(F.col("n_records") * COMMON_SHARE > total, "common")
+    return counts.filter(F.size("ngram") > 0).withColumn("mark", mark)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked(spark, sf_dir, 1).filter("mark is not null").select("field", F.col("ngram")[0].alias("term"), "mark")
+
+
+def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every n-gram of up to three terms with its frequencies and mark."""
+    return _marked(spark, sf_dir, NGRAM_LENGTH).select("field", F.array_join("ngram", " ").alias("ngram"), F.size("ngram").alias("n_terms"), "n_occurrences", "n_records", "mark")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,7 +67,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_pieces": p8_pieces}
+    return {"p2_found": p2_found, "p2_terms": p2_terms, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_pieces": p8_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
