@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mathquarry.llm import encode, ngrams, pack, split, words
+from mathquarry.llm import encode, neardup, ngrams, pack, split, words
 from mathquarry.session import distinct_records, materialize, table
 
 #: Parameters of production.
@@ -44,6 +44,21 @@ def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir, NGRAM_LENGTH).select("field", F.array_join("ngram", " ").alias("ngram"), F.size("ngram").alias("n_terms"), "n_occurrences", "n_records", "mark")
 
 
+def _restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    theorem, document = table(spark, sf_dir, "theorem"), table(spark, sf_dir, "document")
+    keyed = theorem.select(F.lit("theorem.text").alias("field"), F.concat_ws("|", F.coalesce("document", F.lit("")), F.coalesce("paragraph_id", F.lit(""))).alias("key"), "text")
+    return neardup.word_sets(keyed.unionByName(document.select(F.lit("document.title").alias("field"), F.col("id").alias("key"), F.col("title").alias("text"))))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.record_pairs(_restated(spark, sf_dir))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with words: its class of equal word sets, its group and its number of links."""
+    return neardup.groups(_restated(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,7 +82,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_terms": p2_terms, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_pieces": p8_pieces}
+    return {"p2_found": p2_found, "p2_terms": p2_terms, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_pieces": p8_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
