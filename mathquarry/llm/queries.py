@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mathquarry.llm import encode, neardup, ngrams, pack, split, words
+from mathquarry.llm import encode, names, neardup, ngrams, pack, split, words
 from mathquarry.session import distinct_records, materialize, table
 
 #: Parameters of production.
@@ -44,6 +44,24 @@ def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir, NGRAM_LENGTH).select("field", F.array_join("ngram", " ").alias("ngram"), F.size("ngram").alias("n_terms"), "n_occurrences", "n_records", "mark")
 
 
+def _links(spark: SparkSession, sf_dir: str, typed: DataFrame) -> DataFrame:
+    profiles = table(spark, sf_dir, "author_profile").select(F.col("zbmath_id").alias("id"), F.col("preferred_name").alias("preferred"))
+    return names.link_names(typed.select(F.col("display_name").alias("name")), profiles)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    open_rows = table(spark, sf_dir, "authorship").filter("zbmath_id is null or trim(zbmath_id) = ''").select("document", "rank", "display_name").distinct()
+    links = _links(spark, sf_dir, open_rows)
+    return open_rows.join(links, F.col("display_name") == F.col("name")).select("document", "rank", F.col("id").alias("zbmath_id")).distinct()
+
+
+def p3_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling that is linked, with how many records have it and how far it is from the name."""
+    rows = table(spark, sf_dir, "authorship").select("document", "rank", "display_name").distinct()
+    counts = rows.groupBy("display_name").agg(F.count("*").alias("n_records"))
+    return counts.join(_links(spark, sf_dir, rows), F.col("display_name") == F.col("name")).select("display_name", F.col("id").alias("zbmath_id"), "cost", "n_records")
+
+
 def _restated(spark: SparkSession, sf_dir: str) -> DataFrame:
     theorem, document = table(spark, sf_dir, "theorem"), table(spark, sf_dir, "document")
     keyed = theorem.select(F.lit("theorem.text").alias("field"), F.concat_ws("|", F.coalesce("document", F.lit("")), F.coalesce("paragraph_id", F.lit(""))).alias("key"), "text")
@@ -82,7 +100,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_terms": p2_terms, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_pieces": p8_pieces}
+    return {"p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_variants": p3_variants, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_pieces": p8_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
