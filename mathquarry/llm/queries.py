@@ -7,15 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mathquarry.llm import encode, names, neardup, ngrams, pack, split, words
+from mathquarry.llm import cluster, encode, names, neardup, ngrams, pack, split, words
 from mathquarry.session import distinct_records, materialize, table
 
 #: Parameters of production.
+TYPICAL = 5
 RARE_RECORDS, COMMON_SHARE, NGRAM_LENGTH = 3, 10, 3
 CAPACITY = 2048
 PIECE_LIMIT, PIECE_OVERLAP = 512, 64
 
 
+def _clusters(spark: SparkSession, sf_dir: str):
+    vectors = cluster.vectors_of(table(spark, sf_dir, "paragraph2").select("document", "paragraph_id", "text"))
+    return vectors, cluster.bisect(vectors)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, tree = _clusters(spark, sf_dir)
+    if not tree.leaves():
+        return vectors.select("document", "paragraph_id", F.lit(0).alias("exemplar_id")).limit(0)
+    examples = {r["exemplar_id"]: r["text"] for r in table(spark, sf_dir, "exemplar").collect()}  # a fixed table of 19 rows
+    return cluster.belongs(vectors, cluster.subjects(tree, examples), tree.idf)
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaf: its size, compactness, spread over the main classes and most typical paragraphs."""
+    vectors, tree = _clusters(spark, sf_dir)
+    assigned = materialize(cluster.assign(vectors, tree), "assigned")
+    main = distinct_records(table(spark, sf_dir, "document").select("id", "main_msc_cat", "loaded_at")).groupBy("id").agg(F.min("main_msc_cat").alias("main"))
+    spread = assigned.join(main, F.col("document") == F.col("id"), "left").groupBy("cluster", F.coalesce("main", F.lit("none")).alias("main")).agg(F.count("*").alias("n"))
+    classes = spread.groupBy("cluster").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "main"))).alias("c"))
+    classes = classes.select("cluster", "size", F.transform("c", lambda x: F.concat(x["main"], F.lit(":"), (-x["minus"]).cast("string"))).alias("classes"))
+    typical = cluster.nearest(assigned, TYPICAL, "document", "paragraph_id").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", F.concat_ws("|", "document", "paragraph_id").alias("key")))).alias("t"))
+    compact = assigned.groupBy("cluster").agg(F.round(F.avg("cosine"), 4).alias("mean_cosine"))
+    return classes.join(typical, "cluster").join(compact, "cluster").select("cluster", "size", "mean_cosine", "classes", F.col("t")["key"].alias("typical"))
+
+
 def _term_tables(spark: SparkSession, sf_dir: str):
     """The fields of problem 2: name, one text of each record, how it is cut into terms."""
     for name, column, key, terms_of in (("theorem", "text", ["document", "paragraph_id"], words.words), ("formula", "c_math_ml", ["document", "formula_id"], words.content_terms)):
@@ -100,7 +127,7 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_variants": p3_variants, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_pieces": p8_pieces}
+    return {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_variants": p3_variants, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_pieces": p8_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
