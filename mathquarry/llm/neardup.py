@@ -22,6 +22,8 @@ in ``members`` and are expanded to record pairs only where a result asks for it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -69,30 +71,34 @@ def _sets(cells):
         freq = cells.value
         seen: set = set()
         for b in batches:
-            rows: list[tuple] = []
-            for field, key, text in zip(*(c.to_pylist() for c in b.columns)):
-                h = np.array(hash_set(field, text), dtype=np.uint64)
-                if not len(h):
-                    continue
-                f = freq[(h % np.uint64(CELLS)).astype(np.int64)]
-                order = np.lexsort((h, f))
-                h, f = h[order], f[order]
-                rid = xxhash.xxh3_128_digest(h.tobytes())
-                bits = np.zeros(128, dtype=bool)
-                bits[(h >> np.uint64(40)).astype(np.int64) % 128] = True
-                s1, s2 = np.packbits(bits, bitorder="little").view(np.int64).tolist()
-                rows.append((field, key, rid, len(h), h.view(np.int64), int(np.searchsorted(f, 2)), int(np.searchsorted(f, HOT, "right")), s1, s2, rid not in seen))
-                seen.add(rid)
-                if len(seen) > 500_000:
-                    seen.clear()
-            if rows:
-                cols = list(zip(*rows))
-                flat = pa.array(np.concatenate(cols[4]), pa.int64())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(cols[3])]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int32()), pa.ListArray.from_arrays(offsets, flat), *(pa.array(c, pa.int32()) for c in cols[5:7]), *(pa.array(c, pa.int64()) for c in cols[7:9]), pa.array(cols[9])],
-                    names=["field", "key", "rid", "size", "words", "lone", "cold", "s1", "s2", "fresh"],
-                )
+            sets = [hash_set(field, text) for field, text in zip(b.column("field").to_pylist(), b.column("text").to_pylist())]
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            there = np.flatnonzero(sizes)
+            if not len(there):
+                continue
+            n = sizes[there]
+            h = np.array([x for s in sets for x in s], dtype=np.uint64)
+            row = np.repeat(np.arange(len(there)), n)
+            f = freq[(h % np.uint64(CELLS)).astype(np.int64)]
+            order = np.lexsort((h, f, row))
+            h, f = h[order], f[order]
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            starts = offsets[:-1]
+            lone, cold = np.add.reduceat((f < 2).astype(np.int32), starts), np.add.reduceat((f <= HOT).astype(np.int32), starts)
+            spot = (h >> np.uint64(40)) % np.uint64(128)
+            bit = np.uint64(1) << (spot % np.uint64(64))
+            s1, s2 = (np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64) for half in (spot < 64, spot >= 64))
+            raw = h.tobytes()
+            rids = [xxhash.xxh3_128_digest(raw[8 * a : 8 * z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            fresh = [not (r in seen or seen.add(r)) for r in rids]
+            if len(seen) > 500_000:
+                seen.clear()
+            words_ = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
+            pick = pa.array(there)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("field").take(pick), b.column("key").take(pick), pa.array(rids, pa.binary()), pa.array(n.astype(np.int32)), words_, pa.array(lone.astype(np.int32)), pa.array(cold.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(fresh)],
+                names=["field", "key", "rid", "size", "words", "lone", "cold", "s1", "s2", "fresh"],
+            )
 
     return run
 
@@ -134,26 +140,43 @@ def _keys(sets: DataFrame, side: str, t) -> DataFrame:
     return single.unionByName(pairs)
 
 
+#: Sizes within this factor are one band.
+BAND = 1.08
+
+
+def _band(size) -> F.Column:
+    return F.floor(F.log(size.cast("double")) / math.log(BAND)).cast("int")
+
+
 def candidates(sets: DataFrame, t=THRESHOLD) -> DataFrame:
-    """(a, b, a_size, b_size) pairs of set ids that passed the filters, each once."""
+    """(a, b) pairs of set ids that passed the filters, each once; a is the larger set.
+
+    A gram is joined within the larger set's band of sizes, so that most pairs that
+    the length and positional filters would drop never meet: an indexed row goes to the
+    bands of the sizes that both filters allow it as partners, a probing one to its own.
+    """
     if 2 * t[0] <= t[1]:
         raise ValueError("the threshold must exceed 1/2")  # else different sets may share one word only
     fresh = sets.filter("fresh")
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size, pos = F.col("size").cast("long"), F.col("pos")
+    most = F.least(F.floor(size * t[1] / t[0]), F.floor((size - pos) * (t[0] + t[1]) / t[0]) - size)
+    index = _keys(fresh, "index", t).withColumn("most", most).filter(F.col("most") >= size).withColumn("band", F.explode(F.sequence(_band(size), _band(F.col("most")))))
+    probe = _keys(fresh, "probe", t).withColumn("band", _band(size))
     # The copies of a set that several tasks marked as fresh meet under their gram and become one row.
-    side = lambda s: _keys(fresh, s, t).repartition(n, "gram").dropDuplicates(["gram", "rid", "pos"])
-    x = side("probe").select("gram", F.col("rid").alias("a"), F.col("size").alias("m"), F.col("pos").alias("i"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    y = side("index").select("gram", F.col("rid").alias("b"), F.col("size").alias("k"), F.col("pos").alias("j"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    both = (F.col("m") + F.col("k")).cast("long")
+    row = ["rid", F.shiftleft(size, 32).bitwiseOR(pos.cast("long")).alias("at"), "s1", "s2", F.xxhash64("gram", "band").alias("gram")]
+    side = lambda keys: keys.select(*row).repartition(n, "gram").distinct()
+    unpack = lambda d, rid, m, i, s1, s2: d.select("gram", F.col("rid").alias(rid), F.shiftright("at", 32).alias(m), F.col("at").bitwiseAND(0x7FFFFFFF).alias(i), F.col("s1").alias(s1), F.col("s2").alias(s2))
+    x, y = unpack(side(probe), "a", "m", "i", "a1", "a2"), unpack(side(index), "b", "k", "j", "b1", "b2")
+    both = F.col("m") + F.col("k")
     # In integers: (t0 + t1) * shared >= t0 * (m + k).
     scale, want = t[0] + t[1], both * t[0]
     length = F.col("k") * t[1] >= F.col("m") * t[0]
     larger = (F.col("m") > F.col("k")) | ((F.col("m") == F.col("k")) & (F.col("a") > F.col("b")))
-    ahead = F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j"))
-    positional = ahead.cast("long") * scale >= want
+    positional = F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j")) * scale >= want
     differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
     suffix = (both - differ) * scale >= want * 2
-    pairs = x.join(y, "gram").filter(length & larger & positional & suffix)
+    pairs = x.join(y, "gram").filter(length & positional & suffix & larger)
     return pairs.select("a", "b").distinct()
 
 
