@@ -141,7 +141,7 @@ def _keys(sets: DataFrame, side: str, t) -> DataFrame:
 
 
 #: Sizes within this factor are one band.
-BAND = 1.08
+BAND = 1.16
 
 
 def _band(size) -> F.Column:
