@@ -56,18 +56,21 @@ def parse_paragraph_id(ident, mode: str = "reference") -> Column:
     if mode not in ("reference", "longest"):
         raise ValueError(mode)
     ident = F.coalesce(ident, F.lit(""))
-    lengths = [F.length(F.regexp_extract(ident, f"({p})", 1)) for _, p, _ in RULES]
-    best = F.greatest(*lengths)
-    fields = {"type": F.lit(None).cast("string")} | {p: F.lit(None).cast("string") for p in (*PARTS, "theorem_type")}
-    for (name, pattern, groups), length in reversed(list(zip(RULES, lengths))):
-        hit = (length > 0) if mode == "reference" else (length > 0) & (length == best)
-        got = {g: F.nullif(F.regexp_extract(ident, pattern, i), F.lit("")) for i, g in enumerate(groups, 1)}
-        if name == "theorem":
-            got["theorem_type"] = theorem_type(F.regexp_extract(ident, pattern, 1))
-        if "itemize" in got:
-            got["itemize"] = F.regexp_replace(got["itemize"], r"\.i", ".")
-        fields = {f: F.when(hit, F.lit(name) if f == "type" else got.get(f, F.lit(None).cast("string"))).otherwise(old) for f, old in fields.items()}
-    return F.struct(*(v.alias(k) for k, v in fields.items()))
+    none = F.lit(None).cast("string")
+    fields = (*PARTS, "abbreviation")
+    candidates = []
+    for order, (name, pattern, groups) in enumerate(RULES):
+        length = F.length(F.regexp_extract(ident, f"({pattern})", 1))
+        got = {g: F.regexp_extract(ident, pattern, i) for i, g in enumerate(groups, 1)}
+        rank = F.when(length > 0, F.lit(1) if mode == "reference" else length).otherwise(0)
+        candidates.append(F.struct(rank.alias("rank"), F.lit(-order).alias("earlier"), F.lit(name).alias("type"), *(got.get(f, none).alias(f) for f in fields)))
+
+    def shown(best):  # bound once, so that the rules aren't evaluated again for each field
+        value = lambda f: F.when(best["rank"] > 0, F.nullif(F.regexp_replace(best[f], r"\.i", ".") if f == "itemize" else best[f], F.lit(""))).alias(f)
+        kind = F.when((best["rank"] > 0) & best["abbreviation"].isNotNull(), theorem_type(best["abbreviation"]))
+        return F.struct(value("type"), *map(value, PARTS), kind.alias("theorem_type"))
+
+    return F.transform(F.array(F.array_max(F.array(*candidates))), shown)[0]
 
 
 def first_doi(identifiers) -> Column:

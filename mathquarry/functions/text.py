@@ -116,7 +116,7 @@ def sentence_parts(sentence, keep_references: bool = True) -> Column:
 
 def sentence_tokens(text) -> Column:
     """array<array<string>>: the sentences of a paragraph as tokens."""
-    return F.transform(sentences(text), sentence_parts)
+    return F.transform(sentences(text), lambda s: sentence_parts(s))
 
 
 def inline_formulas(tokens, latex_by_id) -> Column:

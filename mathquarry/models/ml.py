@@ -68,11 +68,12 @@ def svd(vectors: DataFrame, rank: int) -> tuple[DataFrame, list[float]]:
 
     Columns aren't centred.  The sign of a dimension is arbitrary.
     """
-    from pyspark.mllib.linalg import Vectors as Old
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
-    rows = vectors.select("features").rdd.map(lambda r: Old.fromML(r[0]))
+    rows = MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features").cache()
     result = RowMatrix(rows).computeSVD(rank, computeU=False)
+    rows.unpersist()
     v = result.V.toArray()  # columns x rank: fixed by the vocabulary and the rank, not by the rows
     shared = vectors.sparkSession.sparkContext.broadcast(v)
     project = F.udf(lambda x: Vectors.dense(x.toArray() @ shared.value if not hasattr(x, "indices") else x.values @ shared.value[x.indices]), VectorUDT())

@@ -12,6 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Characters of a key that make a part when keys are numbered.
+PREFIX = 4
+
+
 def vocabulary(tokens: DataFrame, token: str = "token", least: int = 1, count: str | None = None) -> DataFrame:
     """(token, idx): the tokens that occur ``least`` times, numbered from 0 in the order of their bytes.
 
@@ -25,8 +29,8 @@ def vocabulary(tokens: DataFrame, token: str = "token", least: int = 1, count: s
 def dense_index(df: DataFrame, key: str, name: str, kind: str = "int") -> DataFrame:
     """``df`` with ``name``: 0, 1, 2 .. in the order of the distinct ``key``, counted per range part and offset by prefix sums."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A hash of the leading bytes would lose the order; prefixes of the key keep it and bound each window.
-    bucket = F.substring(F.col(key).cast("string"), 1, 2) if dict(df.dtypes)[key] == "string" else F.floor(F.col(key) / 65536)
+    # Prefixes of the key keep its order and bound each window.
+    bucket = F.substring(F.col(key), 1, PREFIX) if dict(df.dtypes)[key] == "string" else F.floor(F.col(key) / 65536)
     ranged = df.withColumn("_part", F.coalesce(bucket.cast("string"), F.lit("")))
     parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min(key).alias("_first"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -112,6 +112,16 @@ def sourced_word_counts(articles: DataFrame, source: str = "zbmath metadata") ->
     return rows.groupBy("token").agg(F.count("*").alias("n"))
 
 
+def merge_features(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two feature tables (document, token, n) of the same documents; fails on a document that one lacks or a token both have."""
+    a, b = first.withColumn("side", F.lit(1)), second.withColumn("side", F.lit(2))
+    both = a.unionByName(b)
+    docs = both.groupBy("document").agg(F.bit_or("side").alias("sides"))
+    checked = both.groupBy("document", "token").agg(F.sum("n").alias("n"), F.bit_or("side").alias("s")).join(docs, "document")
+    fine = F.assert_true((F.col("s") < 3) & (F.col("sides") == 3), "feature tables must have the same documents and no common token")
+    return checked.filter(fine.isNull()).select("document", "token", "n")
+
+
 def top_n_per_key(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     """The first ``n`` rows of each key, with ``place`` from 1."""
     return df.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("place") <= n)
@@ -123,8 +133,10 @@ def cooccurrences(rows: DataFrame, window: int = 10) -> DataFrame:
     The words after each word come from window functions, so no paragraph is joined with itself.
     """
     w = W.partitionBy(*KEY).orderBy("pos")
-    near = F.array(*(F.struct(F.lit(i).alias("gap"), F.lead("token", i).over(w).alias("other")) for i in range(1, window + 1)))
-    pairs = rows.select("token", F.inline(near)).filter("other is not null")
+    gaps = range(1, window + 1)
+    ahead = rows.select("token", *(F.lead("token", i).over(w).alias(f"a{i}") for i in gaps))
+    near = F.inline(F.array(*(F.struct(F.lit(i).alias("gap"), F.col(f"a{i}").alias("other")) for i in gaps)))
+    pairs = ahead.select("token", near).filter("other is not null")
     # distances are whole numbers, so sums are exact until the end
     per = pairs.groupBy("token", "other").agg(*(F.count(F.when(F.col("gap") == i, 1)).alias(f"n{i}") for i in range(1, window + 1)))
     return per.select("token", "other", sum((F.col(f"n{i}") / i for i in range(2, window + 1)), F.col("n1").cast("double")).alias("weight"))

@@ -125,7 +125,8 @@ def spearman(aligned: DataFrame, by: list[str]) -> DataFrame:
     """(by, rho, n): correlation of average ranks within each group; NULL where one side is constant."""
     average = lambda c: F.rank().over(W.partitionBy(*by).orderBy(c)) + (F.count("*").over(W.partitionBy(*by, c)) - 1) / 2
     ranked = aligned.select(*by, average("x").alias("rx"), average("y").alias("ry"))
-    return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    rho = F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))
+    return ranked.groupBy(*by).agg(rho.alias("rho"), F.count("*").alias("n"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -160,7 +161,7 @@ def _beta_tail(x: float, a: float, b: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-12:
             break
-    return front * f
+    return front * (f - 1)
 
 
 # ---------------------------------------------------------------- classification quality

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mathquarry.operators import coo
+from mathquarry.session import materialize
 
 
 def tf_idf(matrix: DataFrame, n_rows: DataFrame, normalize: bool = True) -> DataFrame:
@@ -76,12 +77,12 @@ def processed_matrix(raw: Processed, text_limit: int | None = None, formula_limi
     The values are raw counts; TF-IDF only chooses the columns.  Text columns come first.
     Without formula tokens only the text block is taken.
     """
-    kept = coo.nonzero_rows(raw.matrix)
-    matrix = coo.select_rows(raw.matrix, kept)
+    kept = materialize(coo.nonzero_rows(raw.matrix), "rows")
+    matrix = materialize(coo.select_rows(raw.matrix, kept), "matrix")
     weights = tf_idf(matrix, kept.agg(F.count("*").alias("n")))
     best = top_tokens(column_sums(weights), raw.vocab, text_limit, formula_limit).select("col", "token", "kind")
     order = best.withColumn("_key", F.concat(F.when(F.col("kind") == "text", "0").otherwise("1"), "token"))
-    numbered = coo.dense_index(order, "_key", "new_col").select("col", "new_col", "token", "kind")
+    numbered = materialize(coo.dense_index(order, "_key", "new_col").select("col", "new_col", "token", "kind"), "columns")
     cells = matrix.join(numbered, "col").select("row_id", F.col("new_col").alias("col"), "value", "kind")
     text = cells.filter("kind = 'text'").drop("kind")
     formula = cells.filter("kind = 'formula'").drop("kind")

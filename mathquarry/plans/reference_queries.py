@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mathquarry.operators import orphans
+from mathquarry.functions import formula, ids, review, text
+from mathquarry.models import ml
+from mathquarry.operators import authors, coo, counts, evaluation, orphans, phrase, weighting
 from mathquarry.plans.registry import query
-from mathquarry.session import table
+from mathquarry.session import distinct_records, materialize, table
 
 # ------------------------------------------------------------------ references to records that do not exist
 
@@ -53,3 +56,567 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references per citing table and month of loading."""
     return _orphans(spark, d).groupBy("table_name", F.date_format("first", "yyyy-MM").alias("month"), "state").agg(F.count("*").alias("n_references"))
+
+
+# ------------------------------------------------------------------ tokens and counts
+
+WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]{2,}')"
+PARS = "pars AS (SELECT DISTINCT document, paragraph_id, text FROM paragraph2), "
+THMS = "thms AS (SELECT DISTINCT document, paragraph_id, theorem_type, text FROM theorem), "
+PAR_ROWS = f"WITH {PARS} rows AS (SELECT document, paragraph_id, lower(unnest({WORDS})) AS token FROM pars) "
+THM_ROWS = f"WITH {THMS} rows AS (SELECT document, paragraph_id, theorem_type, lower(unnest({WORDS})) AS token FROM thms) "
+
+
+def _pars(spark, d):
+    return counts.paragraph_source(table(spark, d, "theorem"), table(spark, d, "paragraph2"), "full_text")
+
+
+def _thms(spark, d):
+    return counts.paragraph_source(table(spark, d, "theorem"), table(spark, d, "paragraph2"), "only_theorems")
+
+
+@query(f"""WITH rows AS (SELECT doc_id, lower(unnest({WORDS})) AS token FROM documents)
+SELECT token, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_documents FROM rows GROUP BY token""")
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document"), F.lit("").alias("paragraph_id"), "text")
+    return counts.token_counts(counts.word_rows(docs))
+
+
+@query(PAR_ROWS + "SELECT token, count(*) AS n_occurrences, count(DISTINCT document) AS n_documents FROM rows GROUP BY token")
+def token_counts_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return counts.token_counts(counts.word_rows(_pars(spark, d)))
+
+
+@query(PAR_ROWS + "SELECT document, token, count(*) AS n FROM rows GROUP BY document, token")
+def document_feature_counts(spark: SparkSession, d: str) -> DataFrame:
+    return counts.item_counts(counts.word_rows(_pars(spark, d)))
+
+
+@query(THM_ROWS + "SELECT document, paragraph_id, token, count(*) AS n FROM rows GROUP BY ALL")
+def paragraph_feature_counts(spark: SparkSession, d: str) -> DataFrame:
+    return counts.item_counts(counts.word_rows(_thms(spark, d)), "paragraphs")
+
+
+@query(PAR_ROWS + "SELECT token, count(*) AS n FROM (SELECT DISTINCT document, token FROM rows) GROUP BY token")
+def document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    """Counting the keys of document maps: each token once per document."""
+    return counts.item_counts(counts.word_rows(_pars(spark, d)), mode="reference").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+@query(PAR_ROWS + "SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM rows GROUP BY token HAVING count(*) >= 3")
+def vocab_index(spark: SparkSession, d: str) -> DataFrame:
+    return coo.vocabulary(counts.word_rows(_pars(spark, d)), least=3)
+
+
+@query(f"""WITH {PARS} rows AS (SELECT document, paragraph_id, [lower(x) for x in {WORDS}] AS tokens FROM pars)
+SELECT document, md5(array_to_string(flatten(list(tokens ORDER BY paragraph_id, tokens)), ' ')) AS tokens_md5, CAST(sum(len(tokens)) AS BIGINT) AS n_tokens FROM rows WHERE text_ok GROUP BY document""".replace("AS tokens FROM pars", "AS tokens, text IS NOT NULL AS text_ok FROM pars"))
+def document_token_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each document in order, as a digest."""
+    lists = counts.document_token_list(_pars(spark, d).filter("text is not null"))
+    return lists.select("document", F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@query(r"""WITH f AS (SELECT DISTINCT document, formula_id, latex FROM formula),
+t AS (SELECT unnest(regexp_extract_all(latex, '(?s)\\[A-Za-z]+|\\.|[A-Za-z0-9+\-*/_|\[\]()!<>=^]')) AS raw FROM f)
+SELECT '$' || CASE WHEN length(raw) > 1 THEN substr(raw, 2) ELSE raw END || '$' AS token, count(*) AS n FROM t GROUP BY ALL""")
+def latex_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    f = distinct_records(table(spark, d, "formula").select("document", "formula_id", "latex"))
+    return f.select(F.explode(text.latex_tokens(F.col("latex"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH f AS (SELECT unnest(regexp_extract_all(text, '\$([^$]*)\$', 1)) AS raw FROM documents)
+SELECT regexp_replace(raw, '[^0-9A-Za-z]', '', 'g') AS token, count(*) AS n FROM f WHERE regexp_replace(raw, '[^0-9A-Za-z]', '', 'g') <> '' GROUP BY ALL""")
+def dollar_formula_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas between dollar signs as single tokens."""
+    parts = table(spark, d, "documents").select(F.explode(text.dollar_parts(F.col("text"))).alias("p")).filter("p.kind = 'formula'")
+    return parts.select(text.whole_formula_token(F.col("p.value")).alias("token")).filter("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PARS} parts AS (SELECT document, paragraph_id, unnest(string_split_regex(text, '<fid ([^>]+)>')) AS text FROM pars),
+t AS (SELECT document, paragraph_id, 't:' || lower(unnest({WORDS})) AS token FROM parts)
+SELECT token, count(*) AS n FROM t GROUP BY token""")
+def mixed_tokens_plaintext(spark: SparkSession, d: str) -> DataFrame:
+    rows = counts.mixed_rows(_pars(spark, d), table(spark, d, "formula"), "plaintext")
+    return rows.groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _mixed(spark, d, method):
+    return counts.mixed_rows(_thms(spark, d), table(spark, d, "formula"), method).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("document").alias("n_documents"))
+
+
+@query()
+def mixed_tokens_kristianto(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d, "kristianto")
+
+
+@query()
+def mixed_tokens_lin(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d, "lin")
+
+
+def _features(spark, d, method):
+    return counts.formula_feature_counts(table(spark, d, "formula"), method).groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("n_documents"))
+
+
+@query()
+def formula_kristianto(spark: SparkSession, d: str) -> DataFrame:
+    return _features(spark, d, "kristianto")
+
+
+@query()
+def formula_lin(spark: SparkSession, d: str) -> DataFrame:
+    return _features(spark, d, "lin")
+
+
+@query()
+def formula_content(spark: SparkSession, d: str) -> DataFrame:
+    return _features(spark, d, "content")
+
+
+@query(r"""WITH thms AS (SELECT DISTINCT document, paragraph_id, text FROM theorem),
+refs AS (SELECT document, paragraph_id, unnest(regexp_extract_all(text, '<fid ([^>]+)>', 1)) AS formula_id FROM thms)
+SELECT r.document, r.paragraph_id, r.formula_id, count(*) AS n FROM refs r JOIN (SELECT DISTINCT document, formula_id FROM formula) f USING (document, formula_id) GROUP BY ALL""")
+def cited_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs joined with the formulas they cite; references to unknown formulas drop out."""
+    parts = _thms(spark, d).select("document", "paragraph_id", F.explode(text.mixed_parts(F.col("text"))).alias("p")).filter("p.kind = 'formula'")
+    known = table(spark, d, "formula").select("document", "formula_id").distinct()
+    return parts.select("document", "paragraph_id", F.col("p.value").alias("formula_id")).join(known, ["document", "formula_id"]).groupBy("document", "paragraph_id", "formula_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def cited_formula_features(spark: SparkSession, d: str) -> DataFrame:
+    return counts.cited_formula_counts(_thms(spark, d), table(spark, d, "formula"))
+
+
+@query()
+def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences and tokens of each paragraph, references kept as tokens."""
+    s = _pars(spark, d).select("document", "paragraph_id", text.sentence_tokens(F.col("text")).alias("s"))
+    return s.select("document", "paragraph_id", F.size("s").alias("n_sentences"), F.aggregate("s", F.lit(0), lambda a, x: a + F.size(x)).alias("n_tokens"), text.dump_paragraph(F.col("s")).alias("dump"))
+
+
+@query()
+def review_token_kinds(spark: SparkSession, d: str) -> DataFrame:
+    tokens = table(spark, d, "documents").select(F.explode(review.review_tokens("text")).alias("t"))
+    return tokens.groupBy("t.kind").agg(F.count("*").alias("n"), F.count("t.number").alias("n_numbers"))
+
+
+@query()
+def review_normalized_counts(spark: SparkSession, d: str) -> DataFrame:
+    tokens = table(spark, d, "documents").select(F.explode(review.normalized(text.REVIEW_STOP_WORDS)(review.review_tokens("text"))).alias("token"))
+    return tokens.groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("WITH names AS (SELECT unnest([" + ", ".join(f"'{m}'" for m in text.MATHEMATICIANS) + f"""]) AS token), rows AS (SELECT lower(unnest({WORDS})) AS token FROM documents)
+SELECT token, count(*) AS n FROM rows JOIN names USING (token) GROUP BY token""")
+def mathematician_mentions(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.explode(text.word_tokens(F.col("text"))).alias("token"))
+    return rows.filter(F.col("token").isin(text.MATHEMATICIANS)).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH all_ids AS (SELECT DISTINCT lower(paragraph_id) AS id FROM paragraph2 UNION SELECT DISTINCT lower(paragraph_id) FROM theorem),
+t AS (SELECT id, regexp_extract(id, '""" + ids.THEOREM_ID + r"""', 1) AS abbr FROM all_ids)
+SELECT id, CASE WHEN regexp_matches(id, '^p\d+') THEN 'top_level_paragraph' WHEN regexp_matches(id, '^(?:c\d+\.)?(?:s|ch|a)x?\d+') THEN 'section_paragraph'
+  WHEN regexp_matches(id, '^(?:(?:ch|a|s)\d+\.)?i\d+\.ix?\d+\.px?\d+') OR regexp_matches(id, '^i\d+\.i\d+\.ix?\d+\.px?\d+') THEN 'itemize' WHEN regexp_matches(id, '^id\d+') THEN 'id'
+  WHEN regexp_matches(id, '""" + ids.THEOREM_ID + r"""') THEN 'theorem' END AS type,
+  CASE WHEN NOT regexp_matches(id, '^(?:c\d+\.)?(?:s|ch|a)x?\d+') AND regexp_matches(id, '""" + ids.THEOREM_ID + r"""') THEN
+    CASE """ + " ".join(f"WHEN abbr IN ({', '.join(repr(a) for a in short.split())}) THEN '{name}'" for name, short in ids.THEOREM_TYPES.items()) + r""" WHEN abbr = '' THEN NULL ELSE abbr END END AS theorem_type FROM t""")
+def paragraph_id_types(spark: SparkSession, d: str) -> DataFrame:
+    every = table(spark, d, "paragraph2").select(F.lower("paragraph_id").alias("id")).union(table(spark, d, "theorem").select(F.lower("paragraph_id"))).distinct()
+    kind = ids.parse_paragraph_id(F.col("id"))
+    return every.select("id", kind["type"].alias("type"), kind["theorem_type"].alias("theorem_type"))
+
+
+@query()
+def paragraph_id_longest(spark: SparkSession, d: str) -> DataFrame:
+    every = table(spark, d, "paragraph2").select(F.lower("paragraph_id").alias("id")).union(table(spark, d, "theorem").select(F.lower("paragraph_id"))).distinct()
+    return every.select("id", F.inline(F.array(ids.parse_paragraph_id(F.col("id"), "longest"))))
+
+
+@query(f"""WITH {THMS} rows AS (SELECT document, paragraph_id, [lower(x) for x in {WORDS}] AS t FROM thms WHERE text IS NOT NULL),
+w AS (SELECT t[i] AS token, t[i + g] AS other, g FROM rows, (SELECT unnest(range(1, 4)) AS g) gaps, unnest(range(1, len(t) - g + 1)) AS u(i))
+SELECT token, other, round(sum(CASE g WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE / 3 END), 6) AS weight FROM w GROUP BY ALL""")
+def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    return counts.cooccurrences(counts.word_rows(_thms(spark, d)), window=3).select("token", "other", F.round("weight", 6).alias("weight"))
+
+
+# ------------------------------------------------------------------ matrices and weights
+
+TDM = PAR_ROWS.rstrip() + """, vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS col FROM rows GROUP BY token HAVING count(*) >= 3),
+items AS (SELECT document, row_number() OVER (ORDER BY document) - 1 AS row_id FROM (SELECT DISTINCT document FROM pars)),
+tdm AS (SELECT row_id, col, CAST(count(*) AS DOUBLE) AS value FROM rows JOIN items USING (document) JOIN vocab USING (token) GROUP BY ALL)
+"""
+TFIDF = TDM.rstrip() + """, kept AS (SELECT row_id FROM tdm GROUP BY row_id HAVING sum(value) <> 0), df AS (SELECT col, count(*) AS df FROM tdm GROUP BY col),
+w0 AS (SELECT row_id, col, value * (ln((1 + (SELECT count(*) FROM kept)) / (1.0::DOUBLE + df)) + 1) AS value FROM tdm JOIN df USING (col)),
+norms AS (SELECT row_id, sqrt(sum(value * value)) AS norm FROM w0 GROUP BY row_id), tfidf AS (SELECT row_id, col, value / norm AS value FROM w0 JOIN norms USING (row_id))
+"""
+
+
+def _raw(spark, d) -> weighting.Processed:
+    pars = _pars(spark, d)
+    per = counts.item_counts(counts.word_rows(pars))
+    return weighting.raw_matrix(per, pars, ["document"], 3)
+
+
+def _mixed_raw(spark, d, method="lin") -> weighting.Processed:
+    thms = _thms(spark, d)
+    per = counts.item_counts(counts.mixed_rows(thms, table(spark, d, "formula"), method))
+    return weighting.raw_matrix(materialize(per, "counts"), thms, ["document"], 3)
+
+
+@query(TDM + "SELECT row_id, col, value FROM tdm")
+def raw_tdm(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d).matrix
+
+
+@query(TDM + "SELECT row_id, document FROM items")
+def tdm_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d).rows
+
+
+@query(TDM + "SELECT row_id FROM tdm GROUP BY row_id HAVING sum(value) <> 0")
+def nonzero_rows(spark: SparkSession, d: str) -> DataFrame:
+    return coo.nonzero_rows(_raw(spark, d).matrix)
+
+
+@query(TDM + ", f AS (SELECT col, row_number() OVER (ORDER BY col) - 1 AS new_col FROM (SELECT col FROM tdm GROUP BY col HAVING sum(value) >= 50)) SELECT row_id, new_col AS col, value FROM tdm JOIN f USING (col)")
+def project_reindex(spark: SparkSession, d: str) -> DataFrame:
+    m = _raw(spark, d).matrix
+    return coo.project_reindex(m, coo_frequent(m, 50))
+
+
+def coo_frequent(matrix: DataFrame, least: float) -> DataFrame:
+    return weighting.column_sums(matrix).filter(F.col("score") >= least).select("col")
+
+
+@query(TDM + "SELECT row_id, round(sqrt(sum(value * value)), 6) AS norm FROM tdm GROUP BY row_id UNION ALL SELECT row_id, 0.0 FROM items WHERE row_id NOT IN (SELECT row_id FROM tdm)")
+def row_norms(spark: SparkSession, d: str) -> DataFrame:
+    raw = _raw(spark, d)
+    return coo.row_norms(raw.matrix, raw.rows).select("row_id", F.round("norm", 6).alias("norm"))
+
+
+@query(TDM + ", n AS (SELECT row_id, sqrt(sum(value * value)) AS norm FROM tdm GROUP BY row_id) SELECT round(sum(norm) / (SELECT count(*) FROM items), 6) AS avg_norm FROM n")
+def average_row_norm(spark: SparkSession, d: str) -> DataFrame:
+    raw = _raw(spark, d)
+    return coo.average_row_norm(raw.matrix, raw.rows).select(F.round("avg_norm", 6).alias("avg_norm"))
+
+
+@query(TFIDF + "SELECT row_id, col, round(value, 6) AS value FROM tfidf")
+def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
+    m = _raw(spark, d).matrix
+    return weighting.tf_idf(m, coo.nonzero_rows(m).agg(F.count("*").alias("n"))).select("row_id", "col", F.round("value", 6).alias("value"))
+
+
+@query(TFIDF + ", s AS (SELECT col, round(sum(value), 6) AS score FROM tfidf GROUP BY col) SELECT token, score, place FROM (SELECT token, score, row_number() OVER (ORDER BY score DESC, col) AS place FROM s JOIN vocab USING (col)) WHERE place <= 100")
+def tfidf_top_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The 100 best tokens; a report of the top is the feature."""
+    raw = _raw(spark, d)
+    scores = weighting.column_sums(weighting.tf_idf(raw.matrix, coo.nonzero_rows(raw.matrix).agg(F.count("*").alias("n"))))
+    named = scores.select("col", F.round("score", 6).alias("score")).join(raw.vocab.select(F.col("idx").alias("col"), "token"), "col")
+    return named.orderBy(F.desc("score"), "col").limit(100).select("token", "score", F.row_number().over(W.orderBy(F.desc("score"), "col")).alias("place"))
+
+
+@query(TDM + ", t AS (SELECT row_id, col, value FROM tdm WHERE col % 2 = 0), f AS (SELECT row_id, col, value FROM tdm WHERE col % 2 = 1), "
+       "a AS (SELECT sum(n) AS s FROM (SELECT sqrt(sum(value * value)) AS n FROM t GROUP BY row_id)), b AS (SELECT sum(n) AS s FROM (SELECT sqrt(sum(value * value)) AS n FROM f GROUP BY row_id)) "
+       "SELECT row_id, col, round(value * (SELECT s FROM a) / (SELECT s FROM b), 6) AS value FROM f")
+def block_balance(spark: SparkSession, d: str) -> DataFrame:
+    """One block scaled to the mean length of the other; here the blocks are the even and the odd columns, all rows of both."""
+    raw = _raw(spark, d)
+    return weighting.balance(raw.matrix.filter("col % 2 = 0"), raw.matrix.filter("col % 2 = 1"), raw.rows).select("row_id", "col", F.round("value", 6).alias("value"))
+
+
+@query()
+def processed_tdm(spark: SparkSession, d: str) -> DataFrame:
+    """The main path over theorems with formula features: empty rows dropped, best tokens, balanced blocks."""
+    p = weighting.processed_matrix(_mixed_raw(spark, d), 10_000, 10_000)
+    return p.matrix.join(p.vocab.select(F.col("idx").alias("col"), "token"), "col").select("row_id", "token", F.round("value", 6).alias("value"))
+
+
+@query(TDM + "SELECT row_id, list(token ORDER BY token) AS tokens, CAST(sum(value) AS DOUBLE) AS total FROM tdm JOIN vocab USING (col) GROUP BY row_id")
+def row_token_weights(spark: SparkSession, d: str) -> DataFrame:
+    raw = _raw(spark, d)
+    w = coo.token_weights(raw.matrix, raw.vocab)
+    return w.select("row_id", F.array_sort(F.map_keys("weights")).alias("tokens"), F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+# ------------------------------------------------------------------ authors
+
+AUTHOR_MSC = """WITH known AS (SELECT unnest(['""" + "', '".join(authors.MSC_CLASSES) + """']) AS class),
+a AS (SELECT DISTINCT document, rank, display_name AS author FROM authorship WHERE rank <= 2 AND trim(display_name) <> ''),
+m AS (SELECT document, substr(trim(msc), 1, 2) AS class FROM (SELECT DISTINCT document, msc, pos FROM msc_assignment) WHERE pos <= 3),
+c AS (SELECT author, class, count(*) AS n FROM a JOIN m USING (document) JOIN known USING (class) GROUP BY ALL)
+"""
+QUERY_AUTHOR = ", q AS (SELECT author FROM c GROUP BY author ORDER BY sum(n) DESC, author LIMIT 1)"
+
+
+def _author_msc(spark, d):
+    return authors.author_msc_counts(distinct_records(table(spark, d, "authorship").select("document", "rank", "display_name")), distinct_records(table(spark, d, "msc_assignment").select("document", "msc", "pos")))
+
+
+def _first_author(c: DataFrame) -> DataFrame:
+    """The author with the largest count, one row."""
+    return c.groupBy("author").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "author").limit(1).select("author")
+
+
+@query(AUTHOR_MSC + "SELECT author, class, n FROM c")
+def author_msc_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _author_msc(spark, d)
+
+
+@query(AUTHOR_MSC + QUERY_AUTHOR + """, v AS (SELECT class, n AS m FROM c JOIN q USING (author)),
+s AS (SELECT author, sum(n * coalesce(m, 0)) AS dot, sum(n * n) AS nn FROM c LEFT JOIN v USING (class) GROUP BY author)
+SELECT author, round(1 - dot / sqrt(CAST(nn AS DOUBLE) * (SELECT sum(m * m) FROM v)), 6) AS distance FROM s ORDER BY distance, author LIMIT 20""")
+def author_msc_similarity(spark: SparkSession, d: str) -> DataFrame:
+    c = _author_msc(spark, d)
+    return authors.similar_authors(c, _first_author(c))
+
+
+@query("""WITH a AS (SELECT document, rank, display_name || '(' || coalesce(zbmath_id, 'None') || ')' AS a FROM (SELECT DISTINCT document, rank, display_name, zbmath_id FROM authorship) WHERE rank <= 2 AND display_name IS NOT NULL),
+n AS (SELECT document, string_agg(a, ';' ORDER BY rank, a) AS names, count(*) AS k FROM a GROUP BY document)
+SELECT id AS document, id || ';' || coalesce(names, '') || repeat(';', CAST(greatest(2 - coalesce(k, 0), 0) AS INTEGER)) AS line FROM (SELECT DISTINCT id FROM document) d LEFT JOIN n ON n.document = d.id""")
+def id_author_lines(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "document").select(F.col("id").alias("document")).distinct()
+    return authors.ids_with_authors(items, distinct_records(table(spark, d, "authorship").select("document", "rank", "display_name", "zbmath_id")), ["document"])
+
+
+WALK = AUTHOR_MSC + """, topics AS (SELECT document, class AS topic, count(*) / sum(count(*)) OVER (PARTITION BY document) AS weight FROM m JOIN known USING (class) GROUP BY document, class),
+p AS (SELECT DISTINCT document, author FROM a SEMI JOIN topics USING (document)), q AS (SELECT author FROM p GROUP BY author ORDER BY count(*) DESC, author LIMIT 1)
+"""
+
+
+def _walk_input(spark, d):
+    a = distinct_records(table(spark, d, "authorship").select("document", "rank", "display_name"))
+    m = distinct_records(table(spark, d, "msc_assignment").select("document", "msc", "pos")).filter("pos <= 3")
+    per = m.select("document", F.substring(F.trim("msc"), 1, 2).alias("topic")).filter(F.col("topic").isin(authors.MSC_CLASSES)).groupBy("document", "topic").agg(F.count("*").alias("n"))
+    topics = per.select(F.col("document").alias("row_id"), "topic", (F.col("n") / F.sum("n").over(W.partitionBy("document"))).alias("weight"))
+    pairs = authors.author_items(topics.select("row_id", F.col("row_id").alias("document")).distinct(), a)
+    first = pairs.groupBy("author").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "author").limit(1).select("author")
+    return pairs, topics, first
+
+
+@query(WALK + """, mine AS (SELECT document, 1.0::DOUBLE / count(*) OVER () AS part FROM p JOIN q USING (author)), bt AS (SELECT topic, sum(part * weight) AS mass FROM mine JOIN topics USING (document) GROUP BY topic),
+k AS (SELECT * FROM topics WHERE document IN (SELECT document FROM p)), tot AS (SELECT topic, sum(weight) AS total FROM k GROUP BY topic),
+sh AS (SELECT document, sum(weight / total * mass) AS mass FROM k JOIN tot USING (topic) JOIN bt USING (topic) GROUP BY document), n AS (SELECT document, count(*) AS n FROM p GROUP BY document)
+SELECT author, round(sum(mass / n), 6) AS mass FROM p JOIN sh USING (document) JOIN n USING (document) GROUP BY author""")
+def author_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Mass of a random walk from one author over topics; topics are the classes of the articles."""
+    return authors.author_walk(*_walk_input(spark, d)).select("author", F.round("mass", 6).alias("mass"))
+
+
+@query(WALK + """, an AS (SELECT author, document, 1 / sqrt(count(*) OVER (PARTITION BY author)) AS v FROM p), tn AS (SELECT document, topic, weight / sqrt(sum(weight * weight) OVER (PARTITION BY document)) AS w FROM topics),
+bt AS (SELECT topic, sum(v * w) AS mass FROM an JOIN q USING (author) JOIN tn USING (document) GROUP BY topic), bi AS (SELECT document, sum(w * mass) AS s FROM tn JOIN bt USING (topic) GROUP BY document)
+SELECT author, round(sum(v * s), 5) AS score FROM an JOIN bi USING (document) GROUP BY author""")
+def author_topic_author(spark: SparkSession, d: str) -> DataFrame:
+    return authors.topic_scores(*_walk_input(spark, d)).select("author", F.round("score", 5).alias("score"))
+
+
+@query("SELECT DISTINCT document FROM msc_assignment WHERE pos = 1 AND substr(trim(msc), 1, 2) IN ('" + "', '".join(authors.FREQUENT_CLASSES) + "')")
+def frequent_class_documents(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "msc_assignment").filter("pos = 1")
+    return m.filter(F.substring(F.trim("msc"), 1, 2).isin(authors.FREQUENT_CLASSES)).select("document").distinct()
+
+
+# ------------------------------------------------------------------ evaluation
+
+OVERLAP = """WITH a AS (SELECT DISTINCT doc_id, lower(trim(source)) AS cluster FROM documents WHERE trim(source) <> ''), b AS (SELECT DISTINCT doc_id, substr(trim(msc), 1, 2) AS category FROM documents WHERE trim(msc) <> ''),
+i AS (SELECT cluster, category, count(*) AS i FROM a JOIN b USING (doc_id) GROUP BY ALL),
+g AS (SELECT x.cluster, y.category, na, nb, coalesce(i, 0) AS i FROM (SELECT cluster, count(*) AS na FROM a GROUP BY cluster) x CROSS JOIN (SELECT category, count(*) AS nb FROM b GROUP BY category) y LEFT JOIN i ON i.cluster = x.cluster AND i.category = y.category)
+"""
+
+
+def _overlap_input(spark, d):
+    docs = table(spark, d, "documents")
+    return (
+        docs.select("doc_id", F.lower(F.trim("source")).alias("cluster")).filter("cluster <> ''"),
+        docs.filter("trim(msc) <> ''").select("doc_id", F.substring(F.trim("msc"), 1, 2).alias("category")),
+    )
+
+
+@query(OVERLAP + "SELECT cluster, category, i AS n_common, round(i / (na + nb - i), 6) AS jaccard, round(i / na, 6) AS share_of_cluster, round(i / nb, 6) AS share_of_category FROM g")
+def jaccard_cluster_category(spark: SparkSession, d: str) -> DataFrame:
+    o = evaluation.overlap(*_overlap_input(spark, d))
+    return o.select("cluster", "category", "n_common", *(F.round(c, 6).alias(c) for c in ("jaccard", "share_of_cluster", "share_of_category")))
+
+
+@query(OVERLAP + "SELECT category, round(max(i / (na + nb - i)), 6) AS jaccard FROM g GROUP BY category")
+def best_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.best_overlap(evaluation.overlap(*_overlap_input(spark, d))).select("category", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(OVERLAP + "SELECT cluster, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share, CAST(100 * count(*) // CAST(sum(count(*)) OVER () AS BIGINT) AS BIGINT) AS percent FROM a GROUP BY cluster")
+def cluster_share(spark: SparkSession, d: str) -> DataFrame:
+    s = evaluation.cluster_shares(_overlap_input(spark, d)[0].distinct())
+    return s.withColumn("percent", evaluation.percent(F.col("n"), F.sum("n").over(W.partitionBy())))
+
+
+@query(OVERLAP + "SELECT cluster, len(list(doc_id)) AS n, list_sort(list(doc_id)) AS members FROM a GROUP BY cluster")
+def cluster_members(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.group_sets(_overlap_input(spark, d)[0], "cluster").select("cluster", F.size("members").alias("n"), "members")
+
+
+CHI = THM_ROWS.rstrip() + """, items AS (SELECT document, paragraph_id, theorem_type AS class FROM thms WHERE theorem_type IS NOT NULL), lab AS (SELECT r.document, r.paragraph_id, r.theorem_type AS class, token FROM rows r WHERE theorem_type IS NOT NULL),
+tot AS (SELECT token, count(*) AS f FROM lab GROUP BY token HAVING count(*) >= 3), sz AS (SELECT class, count(*) AS k FROM items GROUP BY class), o AS (SELECT class, token, count(*) AS o FROM lab GROUP BY ALL),
+chi AS (SELECT sz.class, tot.token, (coalesce(o, 0) - k / n * f) ** 2 / (f * (k / n) * (1 - k / n)) AS score FROM tot CROSS JOIN sz CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM items) LEFT JOIN o ON o.class = sz.class AND o.token = tot.token)
+"""
+
+
+def _chi(spark, d):
+    thms = distinct_records(table(spark, d, "theorem").select("document", "paragraph_id", "theorem_type", "text")).filter("theorem_type is not null")
+    key = F.concat_ws("|", "document", "paragraph_id")
+    rows = thms.select(key.alias("row_id"), F.explode(text.word_tokens(F.col("text"))).alias("col"))
+    cells = rows.groupBy("row_id", "col").agg(F.count("*").cast("double").alias("value"))
+    often = cells.groupBy("col").agg(F.sum("value").alias("s")).filter("s >= 3").select("col")
+    labels = thms.select(key.alias("row_id"), F.col("theorem_type").alias("class"))
+    return evaluation.chi2_scores(cells.join(often, "col", "left_semi"), labels)
+
+
+@query(CHI + "SELECT class, token AS col, round(score, 5) AS score FROM chi")
+def chi2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _chi(spark, d).select("class", "col", F.round("score", 5).alias("score"))
+
+
+@query(CHI + "SELECT class, token AS col, score, place FROM (SELECT class, token, round(score, 6) AS score, row_number() OVER (PARTITION BY class ORDER BY round(score, 6) DESC, token) AS place FROM chi) WHERE place <= 10")
+def chi2_top_terms(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.chi2_top(_chi(spark, d), 10)
+
+
+@query(CHI + "SELECT DISTINCT token AS col FROM chi WHERE round(score, 6) > 6.634897")
+def chi2_term_set(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.chi2_columns(_chi(spark, d).withColumn("score", F.round("score", 6)), 6.634897)
+
+
+@query()
+def chi2_p_values(spark: SparkSession, d: str) -> DataFrame:
+    return _chi(spark, d).select("class", "col", "score", evaluation.chi2_p("score").alias("p"))
+
+
+@query(f"""WITH {PARS} {THMS} x AS (SELECT lower(unnest({WORDS})) AS token FROM pars), y AS (SELECT lower(unnest({WORDS})) AS token FROM thms),
+al AS (SELECT token, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM (SELECT token, count(*) AS n FROM x GROUP BY token) a FULL JOIN (SELECT token, count(*) AS n FROM y GROUP BY token) b USING (token)),
+r AS (SELECT substr(token, 1, 1) AS letter, rank() OVER (PARTITION BY substr(token, 1, 1) ORDER BY x) + (count(*) OVER (PARTITION BY substr(token, 1, 1), x) - 1) / 2 AS rx,
+ rank() OVER (PARTITION BY substr(token, 1, 1) ORDER BY y) + (count(*) OVER (PARTITION BY substr(token, 1, 1), y) - 1) / 2 AS ry FROM al)
+SELECT letter, CASE WHEN isnan(c) THEN NULL ELSE round(c, 6) END AS rho, n FROM (SELECT letter, corr(rx, ry) AS c, count(*) AS n FROM r GROUP BY letter HAVING count(*) > 2 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0)""")
+def spearman_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of word counts in full texts and in theorems, per first letter."""
+    side = lambda p: p.select(F.explode(text.word_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").cast("double").alias("value"))
+    both = evaluation.align(side(_pars(spark, d)), side(_thms(spark, d)), ["token"]).withColumn("letter", F.substring("token", 1, 1))
+    return evaluation.spearman(both, ["letter"]).filter("n > 2 and rho is not null").select("letter", F.round("rho", 6).alias("rho"), "n")
+
+
+@query("""WITH l AS (SELECT DISTINCT document, CASE WHEN starts_with(trim(msc), '05') THEN 1 ELSE 0 END AS label FROM msc_assignment WHERE pos = 1), dd AS (SELECT DISTINCT id, main_msc_cat FROM document),
+p AS (SELECT label, CASE WHEN main_msc_cat IS NULL THEN NULL WHEN starts_with(main_msc_cat, '05') THEN 1 ELSE 0 END AS prediction FROM dd LEFT JOIN l ON l.document = dd.id),
+c AS (SELECT count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label = 0 AND prediction = 1) AS fp, count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 0 AND prediction = 0) AS tn FROM p WHERE label IS NOT NULL AND prediction IS NOT NULL)
+SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM c""")
+def confusion_prf(spark: SparkSession, d: str) -> DataFrame:
+    """An article's stored main class as a prediction of its first code; articles without a code have no label."""
+    labels = table(spark, d, "msc_assignment").filter("pos = 1").select("document", evaluation.prefix_label(F.trim("msc"), "05").alias("label")).distinct()
+    docs = table(spark, d, "document").select(F.col("id").alias("document"), evaluation.prefix_label(F.col("main_msc_cat"), "05").alias("prediction")).distinct()
+    c = evaluation.confusion(docs.join(labels, "document", "left"))
+    return c.select("tp", "fp", "fn", "tn", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")))
+
+
+@query("""WITH n AS (SELECT document, count(*) AS n FROM (SELECT DISTINCT document, paragraph_id FROM theorem) GROUP BY document), b AS (SELECT * FROM (VALUES (0, '0', 0, 1), (1, '1', 1, 2), (2, '2', 2, 3), (3, '3', 3, 4), (4, '4 - 9', 4, 10), (5, '10 - 99', 10, 100)) t(bin, label, lo, hi))
+SELECT bin, label, (SELECT count(*) FROM n WHERE n >= lo AND n < hi) AS n FROM b""")
+def histogram_bounds(spark: SparkSession, d: str) -> DataFrame:
+    per = table(spark, d, "theorem").select("document", "paragraph_id").distinct().groupBy("document").agg(F.count("*").alias("k"))
+    return evaluation.histogram(per, "k", [0, 1, 2, 3, 4, 10, 100])
+
+
+# ------------------------------------------------------------------ phrases
+
+PHRASE = ["admits", "the"]
+
+
+@query(PAR_ROWS + "SELECT document, paragraph_id FROM rows WHERE token IN ('admits', 'the') GROUP BY ALL HAVING count(DISTINCT token) = 2")
+def phrase_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return phrase.candidates(counts.word_rows(_pars(spark, d)), PHRASE, ["document", "paragraph_id"])
+
+
+@query(f"""WITH {PARS} s AS (SELECT document, paragraph_id, ' ' || array_to_string([lower(x) for x in {WORDS}], ' ') || ' ' AS line FROM pars WHERE text IS NOT NULL)
+SELECT document, paragraph_id FROM s WHERE contains(line, ' admits the ')""")
+def phrase_match(spark: SparkSession, d: str) -> DataFrame:
+    lists = _pars(spark, d).select("document", "paragraph_id", text.word_tokens(F.col("text")).alias("tokens"))
+    return phrase.matches(lists, PHRASE).select("document", "paragraph_id")
+
+
+@query()
+def phrase_match_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Matches within one sentence, references counting as tokens, by the single scan."""
+    s = _pars(spark, d).select("document", "paragraph_id", F.posexplode(text.sentence_tokens(F.col("text"))).alias("sentence", "tokens"))
+    return phrase.matches(s, PHRASE, "reference").select("document", "paragraph_id", "sentence")
+
+
+# ------------------------------------------------------------------ models (checked by properties in the tests)
+
+
+def _embedded(spark, d):
+    from pyspark.ml.functions import array_to_vector
+
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"), "label")
+
+
+def _theorem_vectors(spark, d):
+    raw = _raw(spark, d)
+    width = raw.vocab.count()
+    return coo.to_vectors(materialize(raw.matrix, "matrix"), width), raw
+
+
+@query()
+def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
+    v = _embedded(spark, d).cache()
+    return ml.labels(ml.kmeans(v, k=10, runs=3), v)
+
+
+@query()
+def gmm_labels(spark: SparkSession, d: str) -> DataFrame:
+    v, _ = ml.svd(_embedded(spark, d), 8)
+    v = v.cache()
+    return ml.labels(ml.gaussian_mixture(v, k=10, iterations=30), v)
+
+
+@query()
+def svd_lsa(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    v, _ = _theorem_vectors(spark, d)
+    reduced, _ = ml.svd(v, 10)
+    return reduced.select("row_id", F.transform(vector_to_array("features"), lambda x: F.round(F.abs(x), 4)).alias("features"))
+
+
+@query()
+def lda_topics(spark: SparkSession, d: str) -> DataFrame:
+    v, raw = _theorem_vectors(spark, d)
+    return ml.topic_words(ml.lda(v, topics=10, iterations=5), raw.vocab, 10)
+
+
+@query()
+def linear_svc(spark: SparkSession, d: str) -> DataFrame:
+    """Quality on held-out rows of a classifier for the most frequent label against the rest."""
+    rows = _embedded(spark, d)
+    first = rows.groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
+    rows = rows.withColumn("label", (F.col("label") == first).cast("int"))
+    train, test = ml.hash_split(rows, "row_id")
+    return evaluation.confusion(ml.predicted(ml.linear_svc(train), test))
+
+
+def _class_profiles(spark, d):
+    """A unit vector of title words for each main class: one item per class, few however many articles there are."""
+    docs = distinct_records(table(spark, d, "document").select("id", "title", "main_msc_cat")).filter(F.col("main_msc_cat").isin(authors.MSC_CLASSES))
+    rows = docs.select(F.col("main_msc_cat").cast("long").alias("row_id"), F.explode(text.word_tokens(F.col("title"))).alias("token"))
+    cells = rows.groupBy("row_id", F.pmod(F.xxhash64("token"), F.lit(256)).cast("int").alias("col")).agg(F.count("*").cast("double").alias("value"))
+    return coo.to_vectors(coo.normalize_rows(cells), 256)
+
+
+@query()
+def affinity_exemplars(spark: SparkSession, d: str) -> DataFrame:
+    return ml.affinity_propagation(_class_profiles(spark, d), damping=0.5, iterations=30)
+
+
+@query()
+def mean_shift_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return ml.mean_shift(_class_profiles(spark, d))
+
+
+@query()
+def word_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    lists = _thms(spark, d).select(text.word_tokens(F.col("text")).alias("tokens"))
+    return ml.neighbours(ml.word_vectors(lists, size=32, min_count=5), "bounded", 20)
