@@ -178,7 +178,7 @@ def read_articles(spark: SparkSession, paths: str | list[str], metadata_only: bo
 def article_id(identifiers) -> F.Column:
     """The arXiv identifier; an article must have exactly one."""
     own = F.filter(identifiers, lambda x: x["source"] == "arxiv")
-    return F.when(F.assert_true(F.size(own) == 1, "an article must have exactly one arXiv id").isNull(), own[0]["ident"])
+    return F.when(F.assert_true(identifiers.isNull() | (F.size(own) == 1), "an article must have exactly one arXiv id").isNull(), own[0]["ident"])
 
 
 def paragraphs(articles: DataFrame) -> DataFrame:
