@@ -40,11 +40,13 @@ CELLS = 8192
 @dataclass(frozen=True)
 class Limits:
     """A node of ``least_size`` rows or fewer, or one as compact as ``tight``, is a leaf.  So is one as
-    compact as ``loose`` whose best split takes away less than ``least_gain`` of its dispersion."""
+    compact as ``loose`` whose best split takes away less of its dispersion than ``least_gain`` and what a split
+    of so few rows takes away by chance, ``chance`` by their number."""
 
     loose: float = 0.25
     tight: float = 0.75
     least_gain: float = 0.04
+    chance: float = 2.5
     least_size: int = 30
     least_share: float = 0.001
     passes: int = 3
@@ -267,7 +269,7 @@ def bisect(vectors: DataFrame, limits: Limits = Limits()) -> Tree:
         for i, n in enumerate(opened):
             own, parts = np.linalg.norm(tree.sums[n]), np.linalg.norm(sums[2 * i : 2 * i + 2], axis=1)
             gain = (parts.sum() - own) / max(tree.sizes[n] - own, 1e-9)
-            if min(sizes[2 * i : 2 * i + 2]) == 0 or tree.compact[n] >= limits.loose and gain < limits.least_gain:
+            if min(sizes[2 * i : 2 * i + 2]) == 0 or tree.compact[n] >= limits.loose and gain < limits.least_gain + limits.chance / tree.sizes[n]:
                 continue
             a, b = len(tree.sizes), len(tree.sizes) + 1
             tree.pairs[n] = (used[i], a, b)

@@ -26,8 +26,8 @@ from pyspark.sql import Window as W
 SLOT = T.StructType([T.StructField(c, T.LongType(), False) for c in ("size", "lo", "hi", "per", "first", "place", "start")])
 
 
-def exact_patterns(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
-    """Consume exact combinations of up to four lengths from ``counts`` (changed in place)."""
+def exact_patterns(counts: np.ndarray, capacity: int, most: int = 4) -> list[tuple[int, list[int]]]:
+    """Consume exact combinations of up to ``most`` lengths (4 at most) from ``counts`` (changed in place)."""
     plan: list[tuple[int, list[int]]] = []
 
     def take(parts: list[int]) -> bool:
@@ -50,10 +50,10 @@ def exact_patterns(counts: np.ndarray, capacity: int) -> list[tuple[int, list[in
                 take([size])
                 break
             before = counts > 0
-            found = counts[gap] > 0 and take([size, gap])
-            if not found:
+            found = most >= 2 and counts[gap] > 0 and take([size, gap])
+            if not found and most >= 3:
                 found = _pair(counts, gap, lambda a, b: take([size, a, b]))
-            if not found:
+            if not found and most >= 4:
                 if sums is None:
                     have = before.astype(np.float32)
                     n = 2 * len(have)
@@ -112,6 +112,16 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
     return done + [g for groups in open_by_gap.values() for g in groups]
 
 
+def _fewest(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
+    """Exact combinations, then best fit.  Where few items have many lengths, combinations of many parts use up
+    the small items that would fill gaps later; so the number of parts is the one that needs the fewest containers."""
+    plans = []
+    for most in (4, 3, 2, 1):
+        left = counts.copy()
+        plans.append(exact_patterns(left, capacity, most) + best_fit(left, capacity))
+    return min(plans, key=lambda plan: sum(n for n, _ in plan))
+
+
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
     """Rows (size, lo, hi, per, first, place, start): the items of that size with rank lo <= r < hi lie
     in container first + (r - lo) // per at place + (r - lo) % per; their tokens begin at start."""
@@ -119,7 +129,7 @@ def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, ...]
     for size, n in histogram.items():
         counts[size] = n
     zeros, counts[0] = int(counts[0]), 0
-    groups = exact_patterns(counts, capacity) + best_fit(counts, capacity)
+    groups = _fewest(counts, capacity)
     total = sum(n for n, _ in groups)
     if zeros and not total:
         total = -(-zeros // capacity)
