@@ -16,7 +16,7 @@ from mathquarry.sources.articles import parse_articles, to_tables
 
 def article_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """(path, xml) of the files that arrive in ``folder``."""
-    raw = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
 
 
