@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-#: Characters of a key that make a part when keys are numbered.
-PREFIX = 4
+from mathquarry.session import materialize
 
 
 def vocabulary(tokens: DataFrame, token: str = "token", least: int = 1, count: str | None = None) -> DataFrame:
@@ -27,16 +25,18 @@ def vocabulary(tokens: DataFrame, token: str = "token", least: int = 1, count: s
 
 
 def dense_index(df: DataFrame, key: str, name: str, kind: str = "int") -> DataFrame:
-    """``df`` with ``name``: 0, 1, 2 .. in the order of the distinct ``key``, counted per range part and offset by prefix sums."""
+    """``df`` with ``name``: 0, 1, 2 .. in the order of ``key``, which must not repeat.
+
+    Rows are range-partitioned and sorted, numbered within their partition and stored;
+    the number of rows in the partitions before, one number per partition, is added.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Prefixes of the key keep its order and bound each window.
-    bucket = F.substring(F.col(key), 1, PREFIX) if dict(df.dtypes)[key] == "string" else F.floor(F.col(key) / 65536)
-    ranged = df.withColumn("_part", F.coalesce(bucket.cast("string"), F.lit("")))
-    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min(key).alias("_first"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = parts.select("_part", before.alias("_before"))
-    own = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1
-    return ranged.repartition(n, "_part").withColumn("_own", own).join(offsets, "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast(kind)).drop("_part", "_own", "_before")
+    placed = materialize(df.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    part, own = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg((F.max(own) + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, (own + F.col("_before")).cast(kind)).drop("_at", "_part", "_before")
 
 
 def build(counts: DataFrame, vocab: DataFrame | None = None, columns: int | None = None) -> DataFrame:

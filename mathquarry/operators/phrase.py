@@ -21,10 +21,9 @@ def matches(sentences: DataFrame, phrase: list[str], mode: str = "exact") -> Dat
     if not phrase:
         return sentences.filter(F.lit(False))
     if mode == "exact":
-        wanted = F.array(*map(F.lit, phrase))
-        n = len(phrase)
-        starts = F.sequence(F.lit(1), F.size("tokens") - (n - 1))
-        return sentences.filter((F.size("tokens") >= n) & F.exists(starts, lambda i: F.slice("tokens", i, n) == wanted))
+        mark = "\u0001"  # in no token
+        line = F.concat(F.lit(mark), F.array_join("tokens", mark), F.lit(mark))
+        return sentences.filter(line.contains(mark + mark.join(phrase) + mark))
     words = F.array(*map(F.lit, phrase))
     step = lambda at, t: F.when(at == len(phrase), at).when(F.get(words, at) == t, at + 1).otherwise(F.lit(0))
     return sentences.filter(F.aggregate("tokens", F.lit(0), step) == len(phrase))

@@ -59,10 +59,11 @@ class Processed:
 
 def raw_matrix(counts: DataFrame, items: DataFrame, keys: list[str], min_count: int) -> Processed:
     """Numbered rows for ``items`` (keys), a vocabulary of tokens with ``min_count`` occurrences, and the counts as a matrix."""
-    vocab = coo.vocabulary(counts, least=min_count, count="n")
-    rows = number_items(items.select(*keys).distinct(), keys)
+    counts = materialize(counts, "counts")  # texts are tokenised once, whatever is made of them
+    vocab = materialize(coo.vocabulary(counts, least=min_count, count="n"), "vocabulary")
+    rows = materialize(number_items(items.select(*keys).distinct(), keys), "rows")
     named = counts.join(rows, keys).select("row_id", "token", F.col("n").alias("value"))
-    return Processed(coo.build(named, vocab), vocab, rows)
+    return Processed(materialize(coo.build(named, vocab), "matrix"), vocab, rows)
 
 
 def number_items(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,7 +79,7 @@ def processed_matrix(raw: Processed, text_limit: int | None = None, formula_limi
     Without formula tokens only the text block is taken.
     """
     kept = materialize(coo.nonzero_rows(raw.matrix), "rows")
-    matrix = materialize(coo.select_rows(raw.matrix, kept), "matrix")
+    matrix = coo.select_rows(raw.matrix, kept)
     weights = tf_idf(matrix, kept.agg(F.count("*").alias("n")))
     best = top_tokens(column_sums(weights), raw.vocab, text_limit, formula_limit).select("col", "token", "kind")
     order = best.withColumn("_key", F.concat(F.when(F.col("kind") == "text", "0").otherwise("1"), "token"))

@@ -261,7 +261,7 @@ def _raw(spark, d) -> weighting.Processed:
 def _mixed_raw(spark, d, method="lin") -> weighting.Processed:
     thms = _thms(spark, d)
     per = counts.item_counts(counts.mixed_rows(thms, table(spark, d, "formula"), method))
-    return weighting.raw_matrix(materialize(per, "counts"), thms, ["document"], 3)
+    return weighting.raw_matrix(per, thms, ["document"], 3)
 
 
 @query(TDM + "SELECT row_id, col, value FROM tdm")
@@ -557,7 +557,7 @@ def _embedded(spark, d):
 def _theorem_vectors(spark, d):
     raw = _raw(spark, d)
     width = raw.vocab.count()
-    return coo.to_vectors(materialize(raw.matrix, "matrix"), width), raw
+    return coo.to_vectors(raw.matrix, width), raw
 
 
 @query()
