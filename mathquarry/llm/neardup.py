@@ -90,14 +90,15 @@ def _sets(cells):
             s1, s2 = (np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64) for half in (spot < 64, spot >= 64))
             raw = h.tobytes()
             rids = [xxhash.xxh3_128_digest(raw[8 * a : 8 * z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            ids = np.frombuffer(b"".join(rids), dtype=np.int64)[::2]
             fresh = [not (r in seen or seen.add(r)) for r in rids]
             if len(seen) > 500_000:
                 seen.clear()
             words_ = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
             pick = pa.array(there)
             yield pa.RecordBatch.from_arrays(
-                [b.column("field").take(pick), b.column("key").take(pick), pa.array(rids, pa.binary()), pa.array(n.astype(np.int32)), words_, pa.array(lone.astype(np.int32)), pa.array(cold.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(fresh)],
-                names=["field", "key", "rid", "size", "words", "lone", "cold", "s1", "s2", "fresh"],
+                [b.column("field").take(pick), b.column("key").take(pick), pa.array(rids, pa.binary()), pa.array(ids), pa.array(n.astype(np.int32)), words_, pa.array(lone.astype(np.int32)), pa.array(cold.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(fresh)],
+                names=["field", "key", "rid", "id", "size", "words", "lone", "cold", "s1", "s2", "fresh"],
             )
 
     return run
@@ -106,7 +107,7 @@ def _sets(cells):
 def word_sets(records: DataFrame) -> DataFrame:
     """Stored table of the sets of ``records`` (field, key, text); ``fresh`` marks one row at least of each set."""
     cells = records.sparkSession.sparkContext.broadcast(frequency_table(records))
-    schema = "field string, key string, rid binary, size int, words array<long>, lone int, cold int, s1 long, s2 long, fresh boolean"
+    schema = "field string, key string, rid binary, id long, size int, words array<long>, lone int, cold int, s1 long, s2 long, fresh boolean"
     return materialize(records.select("field", "key", "text").mapInArrow(_sets(cells), schema), "sets")
 
 
@@ -128,7 +129,7 @@ def _keys(sets: DataFrame, side: str, t) -> DataFrame:
     that the words from there on, and no earlier ones, can be shared: the word's
     position, or one less than that of the second word.
     """
-    base = ["rid", "size", "s1", "s2"]
+    base = ["id", "size", "s1", "s2"]
     prefixed = sets.withColumn("prefix", _prefix(side, t))
     # Words of one record only are in no pair; hot words go in n-grams.
     single = prefixed.filter("lone < prefix and lone < cold").select(*base, "lone", "cold", F.posexplode(F.slice("words", F.lit(1), F.col("prefix"))).alias("pos", "gram"))
@@ -149,7 +150,7 @@ def _band(size) -> F.Column:
 
 
 def candidates(sets: DataFrame, t=THRESHOLD) -> DataFrame:
-    """(a, b) pairs of set ids that passed the filters, each once; a is the larger set.
+    """(a, b) pairs of sets, by the first half of their ids, that passed the filters, each once; a is the larger set.
 
     A gram is joined within the larger set's band of sizes, so that most pairs that
     the length and positional filters would drop never meet: an indexed row goes to the
@@ -164,9 +165,9 @@ def candidates(sets: DataFrame, t=THRESHOLD) -> DataFrame:
     index = _keys(fresh, "index", t).withColumn("most", most).filter(F.col("most") >= size).withColumn("band", F.explode(F.sequence(_band(size), _band(F.col("most")))))
     probe = _keys(fresh, "probe", t).withColumn("band", _band(size))
     # The copies of a set that several tasks marked as fresh meet under their gram and become one row.
-    row = ["rid", F.shiftleft(size, 32).bitwiseOR(pos.cast("long")).alias("at"), "s1", "s2", F.xxhash64("gram", "band").alias("gram")]
+    row = ["id", F.shiftleft(size, 32).bitwiseOR(pos.cast("long")).alias("at"), "s1", "s2", F.xxhash64("gram", "band").alias("gram")]
     side = lambda keys: keys.select(*row).repartition(n, "gram").distinct()
-    unpack = lambda d, rid, m, i, s1, s2: d.select("gram", F.col("rid").alias(rid), F.shiftright("at", 32).alias(m), F.col("at").bitwiseAND(0x7FFFFFFF).alias(i), F.col("s1").alias(s1), F.col("s2").alias(s2))
+    unpack = lambda d, one, m, i, s1, s2: d.select("gram", F.col("id").alias(one), F.shiftright("at", 32).alias(m), F.col("at").bitwiseAND(0x7FFFFFFF).alias(i), F.col("s1").alias(s1), F.col("s2").alias(s2))
     x, y = unpack(side(probe), "a", "m", "i", "a1", "a2"), unpack(side(index), "b", "k", "j", "b1", "b2")
     both = F.col("m") + F.col("k")
     # In integers: (t0 + t1) * shared >= t0 * (m + k).
@@ -183,22 +184,22 @@ def candidates(sets: DataFrame, t=THRESHOLD) -> DataFrame:
 def similar_classes(sets: DataFrame, t=THRESHOLD) -> DataFrame:
     """(a, b, shared, jaccard) for every pair of different sets with a Jaccard similarity of at least ``t``."""
     found = materialize(candidates(sets, t), "candidates")
-    ids = found.select(F.col("a").alias("rid")).unionByName(found.select(F.col("b").alias("rid"))).distinct()
-    wanted = sets.filter("fresh").select("rid", "words")
-    wanted = maybe(wanted, ids).join(ids, "rid", "left_semi").dropDuplicates(["rid"])
-    one = found.join(wanted.select(F.col("rid").alias("a"), F.col("words").alias("wa")), "a")
-    two = one.join(wanted.select(F.col("rid").alias("b"), F.col("words").alias("wb")), "b")
+    ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
+    wanted = maybe(sets.filter("fresh").select("id", "rid", "words"), ids).join(ids, "id", "left_semi").dropDuplicates(["rid"])
+    side = lambda x: wanted.select(F.col("id").alias(x), F.col("rid").alias(f"r{x}"), F.col("words").alias(f"w{x}"))
+    both = found.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("wa", "wb")).cast("long")
     either = F.size("wa") + F.size("wb") - F.col("shared")
-    return two.select("a", "b", shared.alias("shared"), "wa", "wb").filter(F.col("shared") * t[1] >= either * t[0]).select("a", "b", "shared", (F.col("shared") / either).alias("jaccard"))
+    verified = both.select("ra", "rb", shared.alias("shared"), "wa", "wb").filter(F.col("shared") * t[1] >= either * t[0])
+    return verified.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "shared", (F.col("shared") / either).alias("jaccard"))
 
 
 FILTER_BITS = 1 << 23
 
 
 def maybe(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` whose rid may be among ``ids``, by a bitmap of fixed size; keeps rows from moving that nothing needs."""
-    bit = F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)) + 1
+    """``rows`` whose id may be among ``ids``, by a bitmap of fixed size; keeps rows from moving that nothing needs."""
+    bit = F.pmod("id", F.lit(FILTER_BITS)) + 1
     maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m"))
     bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for r in maps.collect():  # at most FILTER_BITS / 32768 rows of 4 KiB
@@ -212,7 +213,7 @@ def maybe(rows: DataFrame, ids: DataFrame) -> DataFrame:
         v = p.to_numpy()
         return pd.Series((shipped.value[v >> 3] >> (v & 7) & 1).astype(bool))
 
-    return rows.withColumn("bit", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS))).filter(hit("bit")).drop("bit")
+    return rows.withColumn("bit", F.pmod("id", F.lit(FILTER_BITS))).filter(hit("bit")).drop("bit")
 
 
 def members(sets: DataFrame) -> DataFrame:
