@@ -6,11 +6,13 @@ Input vectors are (row_id, features); ``coo.to_vectors`` makes them.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.clustering import LDA, GaussianMixture, KMeans
-from pyspark.ml.feature import Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
@@ -75,9 +77,42 @@ def svd(vectors: DataFrame, rank: int) -> tuple[DataFrame, list[float]]:
     result = RowMatrix(rows).computeSVD(rank, computeU=False)
     rows.unpersist()
     v = result.V.toArray()  # columns x rank: fixed by the vocabulary and the rank, not by the rows
+    return project(vectors, v), [float(s) for s in result.s]
+
+
+def project(vectors: DataFrame, v: np.ndarray) -> DataFrame:
+    """(row_id, features): rows times the matrix ``v``."""
     shared = vectors.sparkSession.sparkContext.broadcast(v)
-    project = F.udf(lambda x: Vectors.dense(x.toArray() @ shared.value if not hasattr(x, "indices") else x.values @ shared.value[x.indices]), VectorUDT())
-    return vectors.select("row_id", project("features").alias("features")), [float(s) for s in result.s]
+    times = F.udf(lambda x: Vectors.dense(x.toArray() @ shared.value if not hasattr(x, "indices") else x.values @ shared.value[x.indices]), VectorUDT())
+    return vectors.select("row_id", times("features").alias("features"))
+
+
+@dataclass
+class TextClusters:
+    """Token lists to clusters: counts, TF-IDF with unit rows, reduction, mixture; the same steps for new documents."""
+
+    weigh: PipelineModel
+    v: np.ndarray
+    mixture: object
+
+    @classmethod
+    def fit(cls, lists: DataFrame, k: int = 64, rank: int = 250, least: int = 1, iterations: int = 100) -> TextClusters:
+        """From (row_id, tokens)."""
+        steps = [CountVectorizer(inputCol="tokens", outputCol="counts", minDF=float(least)), IDF(inputCol="counts", outputCol="weighted"), Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
+        weigh = Pipeline(stages=steps).fit(lists)
+        rows = weigh.transform(lists).select("row_id", "features")
+        from pyspark.mllib.linalg.distributed import RowMatrix
+        from pyspark.mllib.util import MLUtils
+
+        v = RowMatrix(MLUtils.convertVectorColumnsFromML(rows.select("features"), "features")).computeSVD(rank).V.toArray()
+        reduced = project(rows, v).cache()
+        mixture = gaussian_mixture(reduced, k, iterations)
+        reduced.unpersist()
+        return cls(weigh, v, mixture)
+
+    def predict(self, lists: DataFrame) -> DataFrame:
+        """(row_id, cluster)."""
+        return labels(self.mixture, project(self.weigh.transform(lists).select("row_id", "features"), self.v))
 
 
 def hash_split(df: DataFrame, key: str, train: float = 0.8, seed: int = 0) -> tuple[DataFrame, DataFrame]:

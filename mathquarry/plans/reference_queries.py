@@ -11,6 +11,7 @@ from mathquarry.models import ml
 from mathquarry.operators import authors, coo, counts, evaluation, orphans, phrase, weighting
 from mathquarry.plans.registry import query
 from mathquarry.session import distinct_records, materialize, table
+from mathquarry.sources import io
 
 # ------------------------------------------------------------------ references to records that do not exist
 
@@ -367,7 +368,7 @@ def author_msc_counts(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT author, sum(n * coalesce(m, 0)) AS dot, sum(n * n) AS nn FROM c LEFT JOIN v USING (class) GROUP BY author)
 SELECT author, round(1 - dot / sqrt(CAST(nn AS DOUBLE) * (SELECT sum(m * m) FROM v)), 6) AS distance FROM s ORDER BY distance, author LIMIT 20""")
 def author_msc_similarity(spark: SparkSession, d: str) -> DataFrame:
-    c = _author_msc(spark, d)
+    c = materialize(_author_msc(spark, d), "author_msc")  # read for the query author, its classes and all authors
     return authors.similar_authors(c, _first_author(c))
 
 
@@ -521,6 +522,55 @@ def histogram_bounds(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.histogram(per, "k", [0, 1, 2, 3, 4, 10, 100])
 
 
+@query("SELECT DISTINCT document, msc FROM msc_assignment WHERE pos = 1")
+def main_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return io.main_assignment(table(spark, d, "msc_assignment"))
+
+
+@query("SELECT DISTINCT document AS doc_id, substr(trim(msc), 1, 2) AS category FROM msc_assignment WHERE msc IS NOT NULL")
+def class_label_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of each article as a long 0/1 matrix: its cells that are 1."""
+    codes = table(spark, d, "msc_assignment").groupBy(F.col("document").alias("doc_id")).agg(F.collect_set(F.trim("msc")).alias("classes"))
+    return evaluation.class_members(codes)
+
+
+@query(THM_ROWS + ", c AS (SELECT theorem_type, token, count(*) AS n FROM rows WHERE theorem_type IS NOT NULL GROUP BY ALL) SELECT theorem_type, token, n, place FROM (SELECT *, row_number() OVER (PARTITION BY theorem_type ORDER BY n DESC, token) AS place FROM c) WHERE place <= 20")
+def top_words_per_type(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 most frequent words of each theorem type."""
+    thms = distinct_records(table(spark, d, "theorem").select("document", "paragraph_id", "theorem_type", "text")).filter("theorem_type is not null")
+    c = thms.select("theorem_type", F.explode(text.word_tokens(F.col("text"))).alias("token")).groupBy("theorem_type", "token").agg(F.count("*").alias("n"))
+    return counts.top_n_per_key(c, "theorem_type", 20, F.desc("n"), F.col("token"))
+
+
+CLASS_ROWS = TDM + """, cls AS (SELECT id AS document, min(main_msc_cat) AS class FROM document WHERE main_msc_cat IS NOT NULL GROUP BY id)
+"""
+
+
+def _classes(spark, d):
+    return table(spark, d, "document").filter("main_msc_cat is not null").groupBy(F.col("id").alias("document")).agg(F.min("main_msc_cat").alias("class"))
+
+
+@query(CLASS_ROWS + "SELECT class, token, sum(value) AS value FROM tdm JOIN items USING (row_id) JOIN cls USING (document) JOIN vocab USING (col) GROUP BY class, token")
+def class_term_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the matrix added up by the article's main class."""
+    raw = _raw(spark, d)
+    groups = raw.rows.join(_classes(spark, d), "document").select("row_id", F.col("class").alias("group"))
+    sums = coo.sum_rows_by(raw.matrix, groups).withColumnRenamed("row_id", "class")
+    return sums.join(raw.vocab.select(F.col("idx").alias("col"), "token"), "col").select("class", "token", "value")
+
+
+@query(TDM + ", nn AS (SELECT row_id, sqrt(sum(value * value)) AS norm FROM tdm GROUP BY row_id) SELECT row_id, col, round(value / norm, 6) AS value FROM tdm JOIN nn USING (row_id)")
+def normalized_rows(spark: SparkSession, d: str) -> DataFrame:
+    return coo.normalize_rows(_raw(spark, d).matrix).select("row_id", "col", F.round("value", 6).alias("value"))
+
+
+@query(AUTHOR_MSC + "SELECT x.class AS class, y.class AS other, CAST(sum(x.n * y.n) AS DOUBLE) AS value FROM c x JOIN c y USING (author) GROUP BY ALL")
+def class_affinity(spark: SparkSession, d: str) -> DataFrame:
+    """The class-by-class product of the author matrix with itself: how much authors of two classes overlap."""
+    m = materialize(_author_msc(spark, d), "author_msc").select(F.col("author").alias("row_id"), F.col("class").alias("col"), F.col("n").cast("double").alias("value"))
+    return coo.multiply(coo.transpose(m), m).select(F.col("row_id").alias("class"), F.col("col").alias("other"), "value")
+
+
 # ------------------------------------------------------------------ phrases
 
 PHRASE = ["admits", "the"]
@@ -616,6 +666,13 @@ def mean_shift_clusters(spark: SparkSession, d: str) -> DataFrame:
     return ml.mean_shift(_class_profiles(spark, d))
 
 
+@query()
+def text_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Titles through the whole pipeline: counts, TF-IDF, reduction, mixture."""
+    titles = distinct_records(table(spark, d, "document").select(F.col("id").alias("row_id"), "title")).select("row_id", text.word_tokens(F.col("title")).alias("tokens"))
+    return ml.TextClusters.fit(titles, k=5, rank=8, iterations=10).predict(titles)
+
+
 @query()
 def word_neighbours(spark: SparkSession, d: str) -> DataFrame:
     lists = _thms(spark, d).select(text.word_tokens(F.col("text")).alias("tokens"))
