@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mathquarry.session import materialize
+
 SALTS = 16
 LIST = pa.list_(pa.string())
 
@@ -106,7 +108,7 @@ def ngram_counts(texts: DataFrame, terms_of: Callable[[str | None], list[str]],
     """(ngram array<string>, n_occurrences, n_records) of all n-grams of 1 to ``sigma`` terms.
 
     ``texts`` has one string column and one row for each record.  The empty
-    n-gram is there too; both its numbers are the number of records, those without
+    n-gram is there too (the result is stored); both its numbers are the number of records, those without
     terms included.  Null and empty texts have no terms.  No records, no rows.
     """
     d = [f"d{i}" for i in range(1, sigma + 1)]
@@ -116,7 +118,7 @@ def ngram_counts(texts: DataFrame, terms_of: Callable[[str | None], list[str]],
     first, second = F.try_element_at("suffix", F.lit(1)), F.try_element_at("suffix", F.lit(2))
     routed = counted.repartition(first, F.when(second.isNotNull(), F.pmod(F.xxhash64(second), F.lit(SALTS))))
     ordered = routed.sortWithinPartitions(F.col("suffix").desc())
-    rows = ordered.mapInArrow(_stack(sigma), "ngram array<string>, n_occurrences long, n_records long")
+    rows = materialize(ordered.mapInArrow(_stack(sigma), "ngram array<string>, n_occurrences long, n_records long"), "ngrams")
     if sigma == 1:
         return rows
     # A single term comes from each part of its second terms; longer n-grams come from one.

@@ -53,7 +53,7 @@ def _term_tables(spark: SparkSession, sf_dir: str):
 def _marked(spark: SparkSession, sf_dir: str, sigma: int) -> DataFrame:
     """All n-grams of both fields, with the mark of those too rare or too common."""
     parts = [ngrams.ngram_counts(texts, terms_of, sigma).withColumn("field", F.lit(field)) for field, texts, terms_of in _term_tables(spark, sf_dir)]
-    counts = materialize(parts[0].unionByName(parts[1]), "ngrams")
+    counts = parts[0].unionByName(parts[1])
     totals = {r["field"]: r["n"] for r in counts.filter(F.size("ngram") == 0).groupBy("field").agg(F.sum("n_records").alias("n")).collect()}  # two rows
     total = F.lit(None).cast("long")
     for field, n in totals.items():
