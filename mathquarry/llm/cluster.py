@@ -39,7 +39,7 @@ CELLS = 8192
 
 @dataclass(frozen=True)
 class Limits:
-    """A node of ``least_size`` rows or fewer, or one as compact as ``tight``, is a leaf.  So is one as
+    """A node of ``least_size`` rows or fewer or of less than ``least_share`` of all, or one as compact as ``tight``, is a leaf.  So is one as
     compact as ``loose`` whose best split takes away less of its dispersion than ``least_gain`` and what a split
     of so few rows takes away by chance, ``chance`` by their number."""
 
@@ -51,7 +51,6 @@ class Limits:
     least_share: float = 0.001
     passes: int = 3
     sample: int = 1024
-    most_leaves: int = 4096
 
 
 @dataclass
@@ -213,9 +212,10 @@ def _advance(shared):
 
 def _samples(rows: DataFrame, sizes: dict[int, int], most: int) -> dict[int, list[bytes]]:
     """About ``most`` rows of each node, chosen by a hash of their content."""
-    share = F.lit(1.0)
+    shares = [0.0] * (max(sizes) + 1)
     for node, n in sizes.items():
-        share = F.when(F.col("node") == node, F.lit(min(1.0, most / max(n, 1)))).otherwise(share)
+        shares[node] = min(1.0, most / max(n, 1))
+    share = F.get(F.lit(shares), F.col("node"))
     chosen = rows.filter(F.pmod(F.xxhash64("cells"), F.lit(1 << 20)) < share * (1 << 20))
     out: dict[int, list[bytes]] = {n: [] for n in sizes}
     for r in chosen.collect():
@@ -256,7 +256,7 @@ def bisect(vectors: DataFrame, limits: Limits = Limits()) -> Tree:
     least = max(limits.least_size, int(size[0] * limits.least_share))
     may = lambda n: tree.sizes[n] > least and tree.compact[n] < limits.tight
     opened = [0] if may(0) else []
-    while opened and len(tree.leaves()) < limits.most_leaves:
+    while opened:
         # the largest dispersion first
         opened.sort(key=lambda n: -tree.sizes[n] * (1 - tree.compact[n]))
         blobs = _samples(rows, {n: tree.sizes[n] for n in opened}, limits.sample)
@@ -336,11 +336,10 @@ def assign(vectors: DataFrame, tree: Tree) -> DataFrame:
     return vectors.filter("length(cells) > 0").mapInArrow(run, schema)
 
 
-def vectors_of(records: DataFrame) -> DataFrame:
-    """Stored table of the distinct records: the key columns of ``records`` and the cells of its column text."""
-    keys = [f for f in records.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + ", cells binary"
-    return materialize(records.mapInArrow(_vectors, schema).distinct(), "vectors")
+def vectors_of(records: DataFrame, *keys: str) -> DataFrame:
+    """Stored table of the distinct ``records``: their key columns and the cells of their column text; other columns are left out."""
+    schema = ", ".join(f"`{k}` {records.schema[k].dataType.simpleString()}" for k in keys) + ", cells binary"
+    return materialize(records.select(*keys, "text").mapInArrow(_vectors, schema).distinct(), "vectors")
 
 
 # ---------------------------------------------------------------- exemplars

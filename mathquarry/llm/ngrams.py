@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from mathquarry.session import materialize
 
 SALTS = 16
-LIST = pa.list_(pa.string())
+#: Between the terms of an n-gram; lower than any character of a term, so that an n-gram sorts next to its extensions.
+MARK = "\u0001"
 
 
 def _suffixes(terms_of: Callable[[str | None], list[str]], sigma: int):
@@ -50,13 +51,13 @@ def _suffixes(terms_of: Callable[[str | None], list[str]], sigma: int):
             if b.num_rows:
                 found[()] = [b.num_rows] + [0] * sigma
             counts = list(zip(*found.values())) if found else [()] * (sigma + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), LIST), *(pa.array(c, pa.int64()) for c in counts)], names=["suffix", "n", *(f"d{i}" for i in range(1, sigma + 1))])
+            yield pa.RecordBatch.from_arrays([pa.array([MARK.join(s) for s in found], pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=["suffix", "n", *(f"d{i}" for i in range(1, sigma + 1))])
 
     return run
 
 
 def _stack(sigma: int):
-    """Suffixes in reverse lexicographic order to (ngram, n_occurrences, n_records) of all their prefixes."""
+    """Suffixes in reverse lexicographic order to (ngram, n_terms, n_occurrences, n_records) of all their prefixes."""
 
     def run(batches):
         terms: list[str] = []
@@ -66,7 +67,7 @@ def _stack(sigma: int):
 
         def pop(depth: int) -> None:
             while len(terms) > depth:
-                out.append((list(terms), n[-1], d[-1]))
+                out.append((MARK.join(terms), len(terms), n[-1], d[-1]))
                 terms.pop()
                 d.pop()
                 last = n.pop()
@@ -74,11 +75,11 @@ def _stack(sigma: int):
                     n[-1] += last
 
         for b in batches:
-            columns = [c.to_pylist() for c in b.columns]
-            for suffix, count, *records in zip(*columns):
-                if not suffix:
-                    out.append(([], count, count))
+            for text, count, *records in zip(*(c.to_pylist() for c in b.columns)):
+                if not text:
+                    out.append(("", 0, count, count))
                     continue
+                suffix = text.split(MARK)
                 common = 0
                 while common < len(terms) and common < len(suffix) and terms[common] == suffix[common]:
                     common += 1
@@ -98,29 +99,28 @@ def _stack(sigma: int):
             yield _rows(out)
 
     def _rows(out):
-        a, b, c = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(a, LIST), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["ngram", "n_occurrences", "n_records"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["ngram", "n_terms", "n_occurrences", "n_records"])
 
     return run
 
 
 def ngram_counts(texts: DataFrame, terms_of: Callable[[str | None], list[str]], sigma: int) -> DataFrame:
-    """(ngram array<string>, n_occurrences, n_records) of all n-grams of 1 to ``sigma`` terms.
+    """(ngram, n_terms, n_occurrences, n_records) of all n-grams of 1 to ``sigma`` terms, joined by MARK.
 
     ``texts`` has one string column and one row for each record.  The empty
     n-gram is there too (the result is stored); both its numbers are the number of records, those without
     terms included.  Null and empty texts have no terms.  No records, no rows.
     """
     d = [f"d{i}" for i in range(1, sigma + 1)]
-    schema = T.StructType([T.StructField("suffix", T.ArrayType(T.StringType())), *(T.StructField(c, T.LongType()) for c in ["n", *d])])
+    schema = T.StructType([T.StructField("suffix", T.StringType()), *(T.StructField(c, T.LongType()) for c in ["n", *d])])
     counted = texts.select(F.col(texts.columns[0]).cast("string")).mapInArrow(_suffixes(terms_of, sigma), schema)
     counted = counted.groupBy("suffix").agg(*(F.sum(c).alias(c) for c in ["n", *d]))
-    first, second = F.try_element_at("suffix", F.lit(1)), F.try_element_at("suffix", F.lit(2))
-    routed = counted.repartition(first, F.when(second.isNotNull(), F.pmod(F.xxhash64(second), F.lit(SALTS))))
+    first, two = F.substring_index("suffix", MARK, 1), F.substring_index("suffix", MARK, 2)
+    routed = counted.repartition(first, F.when(first != two, F.pmod(F.xxhash64(two), F.lit(SALTS))))
     ordered = routed.sortWithinPartitions(F.col("suffix").desc())
-    rows = materialize(ordered.mapInArrow(_stack(sigma), "ngram array<string>, n_occurrences long, n_records long"), "ngrams")
+    rows = materialize(ordered.mapInArrow(_stack(sigma), "ngram string, n_terms int, n_occurrences long, n_records long"), "ngrams")
     if sigma == 1:
         return rows
     # A single term comes from each part of its second terms; longer n-grams come from one.
-    single = rows.filter(F.size("ngram") <= 1).groupBy("ngram").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
-    return rows.filter(F.size("ngram") > 1).unionByName(single)
+    single = rows.filter("n_terms <= 1").groupBy("ngram", "n_terms").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
+    return rows.filter("n_terms > 1").unionByName(single)

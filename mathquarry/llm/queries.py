@@ -18,7 +18,7 @@ PIECE_LIMIT, PIECE_OVERLAP = 512, 64
 
 
 def _clusters(spark: SparkSession, sf_dir: str):
-    vectors = cluster.vectors_of(table(spark, sf_dir, "paragraph2").select("document", "paragraph_id", "text"))
+    vectors = cluster.vectors_of(table(spark, sf_dir, "paragraph2"), "document", "paragraph_id")
     return vectors, cluster.bisect(vectors)
 
 
@@ -54,21 +54,21 @@ def _marked(spark: SparkSession, sf_dir: str, sigma: int) -> DataFrame:
     """All n-grams of both fields, with the mark of those too rare or too common."""
     parts = [ngrams.ngram_counts(texts, terms_of, sigma).withColumn("field", F.lit(field)) for field, texts, terms_of in _term_tables(spark, sf_dir)]
     counts = parts[0].unionByName(parts[1])
-    totals = {r["field"]: r["n"] for r in counts.filter(F.size("ngram") == 0).groupBy("field").agg(F.sum("n_records").alias("n")).collect()}  # two rows
+    totals = {r["field"]: r["n"] for r in counts.filter("n_terms = 0").groupBy("field").agg(F.sum("n_records").alias("n")).collect()}  # two rows
     total = F.lit(None).cast("long")
     for field, n in totals.items():
         total = F.when(F.col("field") == field, F.lit(n)).otherwise(total)
     mark = F.when(F.col("n_records") < RARE_RECORDS, "rare").when(F.col("n_records") * COMMON_SHARE > total, "common")
-    return counts.filter(F.size("ngram") > 0).withColumn("mark", mark)
+    return counts.filter("n_terms > 0").withColumn("mark", mark)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marked(spark, sf_dir, 1).filter("mark is not null").select("field", F.col("ngram")[0].alias("term"), "mark")
+    return _marked(spark, sf_dir, 1).filter("mark is not null").select("field", F.col("ngram").alias("term"), "mark")
 
 
 def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every n-gram of up to three terms with its frequencies and mark."""
-    return _marked(spark, sf_dir, NGRAM_LENGTH).select("field", F.array_join("ngram", " ").alias("ngram"), F.size("ngram").alias("n_terms"), "n_occurrences", "n_records", "mark")
+    return _marked(spark, sf_dir, NGRAM_LENGTH).select("field", F.translate("ngram", ngrams.MARK, " ").alias("ngram"), "n_terms", "n_occurrences", "n_records", "mark")
 
 
 def _links(spark: SparkSession, sf_dir: str, typed: DataFrame) -> DataFrame:

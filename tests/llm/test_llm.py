@@ -44,7 +44,7 @@ def paragraphs(spark):
 
 
 def test_clusters(spark):
-    v = cluster.vectors_of(paragraphs(spark))
+    v = cluster.vectors_of(paragraphs(spark).withColumns({c: F.lit(1) for c in ("cells", "cluster", "node")}), "document", "paragraph_id")
     assert v.count() == 605
     tree = cluster.bisect(v, cluster.Limits(least_size=60))
     got = {(r["document"], r["paragraph_id"]): r["cluster"] for r in cluster.assign(v, tree).collect()}
@@ -66,9 +66,9 @@ def test_clusters(spark):
 
 def test_clusters_of_few(spark):
     empty = spark.createDataFrame([], "document string, paragraph_id string, text string")
-    v = cluster.vectors_of(empty)
+    v = cluster.vectors_of(empty, "document", "paragraph_id")
     assert cluster.bisect(v).leaves() == [] and cluster.assign(v, cluster.bisect(v)).count() == 0
-    same = cluster.vectors_of(spark.createDataFrame([("d", str(i), "one two three") for i in range(50)], "document string, paragraph_id string, text string"))
+    same = cluster.vectors_of(spark.createDataFrame([("d", str(i), "one two three") for i in range(50)], "document string, paragraph_id string, text string"), "document", "paragraph_id")
     assert len(cluster.bisect(same).leaves()) <= 1  # words of all records weigh nothing
 
 
@@ -88,7 +88,7 @@ def test_ngrams(spark, sigma):
     rng = random.Random(sigma)
     texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, "", "aa " * 500]
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(5)
-    got = {tuple(r["ngram"]): (r["n_occurrences"], r["n_records"]) for r in ngrams.ngram_counts(df, words.words, sigma).collect()}
+    got = {tuple(r["ngram"].split(ngrams.MARK)) if r["n_terms"] else (): (r["n_occurrences"], r["n_records"]) for r in ngrams.ngram_counts(df, words.words, sigma).collect()}
     occurrences, records = collections.Counter(), collections.Counter()
     for t in texts:
         w = words.words(t)
