@@ -120,11 +120,12 @@ def orphan_references(refs: DataFrame, loads: DataFrame, withdrawals: DataFrame)
     columns of the citing record; loads: scope, key, at, one row for each load of
     a record; withdrawals: scope, key, at.  ``scope`` is what the key belongs to,
     so that one call serves several tables.  A null key is no reference and no
-    record.  A null time: as a load it is earlier than any other and lives only if the
+    record.  Columns of ``refs`` are kept but for one named state.  A null time: as a load it is earlier than any other and lives only if the
     key isn't withdrawn; of a citing record it makes nothing late; as a withdrawal it
     is earlier than any load.
     Repeated rows count once.  Only ``refs``, which is read twice, should be a stored table.
     """
+    refs = refs.drop("state")
     never = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
     at = lambda c: F.coalesce(F.col(c).cast("timestamp_ntz"), never)
     key = ["scope", "key"]
@@ -160,10 +161,10 @@ def orphan_references(refs: DataFrame, loads: DataFrame, withdrawals: DataFrame)
     # decoding: back to keys, then to the records that cite them in that period
     names = coded.filter("period is not null").select("id", "period", *key)
     firsts = known.select(F.col("id"), "first_load")
-    found = survivors.join(names, ["id", "period"]).join(firsts, "id", "left").select(*key, "period", "state", "first_load")
-    joined = refs.withColumn("period", _period(at("first"))).join(found, [*key, "period"])
-    late = F.col("first_load") > at("first")
-    return joined.filter((F.col("state") != "late") | (late & F.col("first").isNotNull())).drop("period", "first_load")
+    found = survivors.join(names, ["id", "period"]).join(firsts, "id", "left").select(*key, F.col("period").alias("_period"), "state", F.col("first_load").alias("_first_load"))
+    joined = refs.withColumn("_period", _period(at("first"))).join(found, [*key, "_period"])
+    late = F.col("_first_load") > at("first")
+    return joined.filter((F.col("state") != "late") | (late & F.col("first").isNotNull())).drop("_period", "_first_load")
 
 
 # ---------------------------------------------------------------- this project's references

@@ -203,7 +203,10 @@ def test_orphans(spark):
     refs = cast(spark.createDataFrame([("s", k, t("02-10"), i) for i, k in enumerate(["here", "gone", "back", "none", "later", "same", None, "none"])] + [("s", "later", t("05-01"), 9), ("o", "here", t("02-10"), 10)], "scope string, key string, first string, rec int"), "first")
     loads = cast(spark.createDataFrame([("s", "here", t("01-01")), ("s", "gone", t("01-01")), ("s", "back", t("01-01")), ("s", "back", t("03-03")), ("s", "later", t("04-01")), ("s", "same", t("02-20")), ("s", None, t("01-01"))], "scope string, key string, at string"), "at")
     gone = cast(spark.createDataFrame([("s", "gone", t("01-05")), ("s", "gone", t("01-02")), ("s", "back", t("02-01")), ("s", "never", t("02-01"))], "scope string, key string, at string"), "at")
-    got = sorted((r["rec"], r["state"]) for r in orphans.orphan_references(refs, loads, gone).collect())
+    refs = refs.withColumns({c: F.lit("clash") for c in ("state", "period", "first_load", "id", "at", "what")})
+    found = orphans.orphan_references(refs, loads, gone)
+    assert {r["period"] for r in found.collect()} == {"clash"}
+    got = sorted((r["rec"], r["state"]) for r in found.collect())
     assert got == [(1, "deleted"), (3, "missing"), (4, "late"), (5, "late"), (7, "missing"), (10, "missing")]
     assert orphans.orphan_references(refs.limit(0), loads, gone).count() == 0
     assert {r["state"] for r in orphans.orphan_references(refs, loads.limit(0), gone.limit(0)).collect()} == {"missing"}
