@@ -150,7 +150,9 @@ SPELLINGS = {
 }
 
 
-def test_links(spark):
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_links(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(names, "BROADCAST_SEGMENTS", broadcast)
     typed = spark.createDataFrame([(n, 1) for n in SPELLINGS for _ in "ab"] + [(None, 1)], "name string, id int")
     dictionary = spark.createDataFrame(PROFILES, "id string, preferred string")
     got = {r["name"]: r["id"] for r in names.link_names(typed.select("name"), dictionary).collect()}
