@@ -27,8 +27,8 @@ from mathquarry.session import materialize
 WINDOW = 32
 CHUNK_BITS = 10  # a cut in 1,024 places on average
 MIN_CHUNK = 256
-#: Bits of the filter of hashes that may be shared: its size, 512 KiB, is fixed.
-FILTER_BITS = 1 << 22
+#: Bits of the filter of hashes that may be shared: its size, 4 MiB, is fixed.
+FILTER_BITS = 1 << 25
 BUCKET = 32768  # bits in one row of Spark's bitmap aggregates
 
 
