@@ -32,26 +32,31 @@ def _suffixes(terms_of: Callable[[str | None], list[str]], sigma: int):
 
     def run(batches):
         for b in batches:
-            found: dict[tuple, list[int]] = {}
+            found: dict[str, list[int]] = {}
             for text in b.column(0).to_pylist():
                 terms = terms_of(text)
                 seen: set = set()
-                for i in range(len(terms)):
-                    suffix = tuple(terms[i : i + sigma])
+                n = len(terms)
+                for i, suffix in enumerate(terms):
+                    prefixes = [suffix]
+                    for j in range(i + 1, min(i + sigma, n)):
+                        suffix += MARK + terms[j]
+                        prefixes.append(suffix)
                     row = found.get(suffix)
                     if row is None:
                         row = found[suffix] = [0] * (sigma + 1)
                     row[0] += 1
-                    for length in range(len(suffix), 0, -1):
-                        prefix = suffix[:length]
+                    # if a prefix is new, so are the longer ones
+                    for length in range(len(prefixes), 0, -1):
+                        prefix = prefixes[length - 1]
                         if prefix in seen:
                             break
                         seen.add(prefix)
                         row[length] += 1
             if b.num_rows:
-                found[()] = [b.num_rows] + [0] * sigma
+                found[""] = [b.num_rows] + [0] * sigma
             counts = list(zip(*found.values())) if found else [()] * (sigma + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([MARK.join(s) for s in found], pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=["suffix", "n", *(f"d{i}" for i in range(1, sigma + 1))])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=["suffix", "n", *(f"d{i}" for i in range(1, sigma + 1))])
 
     return run
 
