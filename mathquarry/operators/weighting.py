@@ -84,7 +84,7 @@ def processed_matrix(raw: Processed, text_limit: int | None = None, formula_limi
     best = top_tokens(column_sums(weights), raw.vocab, text_limit, formula_limit).select("col", "token", "kind")
     order = best.withColumn("_key", F.concat(F.when(F.col("kind") == "text", "0").otherwise("1"), "token"))
     numbered = materialize(coo.dense_index(order, "_key", "new_col").select("col", "new_col", "token", "kind"), "columns")
-    cells = matrix.join(numbered, "col").select("row_id", F.col("new_col").alias("col"), "value", "kind")
+    cells = materialize(matrix.join(numbered, "col").select("row_id", F.col("new_col").alias("col"), "value", "kind"), "cells")
     text = cells.filter("kind = 'text'").drop("kind")
     formula = cells.filter("kind = 'formula'").drop("kind")
     return Processed(text.unionByName(balance(text, formula, kept)), numbered.select("token", F.col("new_col").alias("idx")), raw.rows.join(kept, "row_id", "left_semi"))
