@@ -16,6 +16,9 @@ shared one can still give) and the suffix filter (the bits in which two 128-bit
 signatures differ bound the words in which the sets differ).  Each pair is then
 verified once on its words.
 
+Null, empty and word-less texts are in no class; a record without a key is in a class but in
+no pair; repeated records count once.
+
 The result of ``similar_classes`` has one row per pair of classes; copies are
 in ``members`` and are expanded to record pairs only where a result asks for it.
 """
@@ -41,8 +44,8 @@ THRESHOLD = (4, 5)
 
 
 def hash_set(field: str, text: str | None) -> list[int]:
-    """Hashes of the words of a text, other ones in another field."""
-    seed = xxhash.xxh32_intdigest(field)
+    """Hashes of the words of a text, other ones in another field; null is a field of its own."""
+    seed = xxhash.xxh32_intdigest("\0" if field is None else field)
     return [xxhash.xxh3_64_intdigest(w, seed) for w in set(words(text))]
 
 

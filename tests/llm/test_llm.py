@@ -218,6 +218,19 @@ def test_near_duplicates(spark, monkeypatch, hot):
         assert own[f, a]["group_id"] == own[f, b]["group_id"]
 
 
+def test_null_keys(spark):
+    text = "one two three four five"
+    rows = [(None, "a", text), (None, "b", text), ("f", None, text), ("f", "b", text), ("f", "b", text)]
+    sets = neardup.word_sets(spark.createDataFrame(rows, "field string, key string, text string"))
+    assert [tuple(r) for r in neardup.record_pairs(sets).collect()] == [(None, "a", "b")]
+    assert sorted((r["field"] or "", r["key"] or "", r["n_links"]) for r in neardup.groups(sets).collect()) == [("", "a", 1), ("", "b", 1), ("f", "", 1), ("f", "b", 1)]
+    big = "abc def. " * 900
+    docs = spark.createDataFrame([(None, big), (None, None), (1, big), (None, big)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, len(r["ids"]) > 0) for r in encode.encode_corpus(docs).collect()) == [(0, False), (0, True), (0, True), (1, True)]
+    assert pack.pack(spark.createDataFrame([(None, 5), (None, 5), (1, None)], "doc_id long, n_tokens long"), 10).count() == 3
+    assert split.split_oversized(docs, 100, 10).select("doc_id").distinct().count() == 2
+
+
 def test_no_near_duplicates(spark):
     none = neardup.word_sets(spark.createDataFrame([("f", "a", None)], "field string, key string, text string"))
     assert neardup.record_pairs(none).count() == 0 and neardup.groups(none).count() == 0
