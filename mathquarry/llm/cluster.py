@@ -127,13 +127,59 @@ def _document_frequency(batches):
     yield pa.RecordBatch.from_arrays([pa.array([*range(CELLS), CELLS], pa.int32()), pa.array([*total.tolist(), n], pa.int64())], names=["cell", "n"])
 
 
-def idf_table(rows: DataFrame) -> np.ndarray:
-    """Weights of the cells, CELLS numbers: log((1 + n) / (1 + df)), 0 for cells in no record or in more than a tenth."""
+def idf_table(rows: DataFrame, sample: int = 1 << 14) -> np.ndarray:
+    """Weights of the cells, CELLS numbers: log((2 + n) / (1 + df)), 0 only for cells in no record.
+
+    A cell in more than a tenth of the records may be filler or the mark of a
+    large subject; ``telling`` finds out on about ``sample`` records.
+    """
     counts = rows.select("cells").mapInArrow(_document_frequency, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(CELLS + 1, dtype=np.int64)
     df[counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
     n, df = int(df[CELLS]), df[:CELLS]
-    return np.where((df > 0) & (df * 10 <= n), np.log((1 + n) / (1 + df)), 0.0)
+    idf = np.where(df > 0, np.log((2 + n) / (1 + df)), 0.0)
+    common = np.flatnonzero(df * 10 > n)
+    if len(common):
+        # a hash of the whole record, so that copies of one text are drawn one by one
+        drawn = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)) < min(1.0, sample / max(n, 1)) * (1 << 40)).select("cells").toArrow()
+        idf[common] *= telling(drawn.column("cells").to_pylist(), idf, common)
+    return idf
+
+
+def telling(blobs: list[bytes], idf: np.ndarray, common: np.ndarray, low: float = 0.1, high: float = 0.15, floor: float = 0.05) -> np.ndarray:
+    """``floor`` for common cells that are filler, 1 for those that mark a subject, between them by a ramp.
+
+    The words beside filler are those of the whole table; the words beside a
+    mark are those of its subject.  The measure is the relative entropy of the
+    two, as a share of the most that so common a cell can have.  In few records
+    chance adds to it; taken from one half and tried on the other, it loses as
+    much, so the mean of both ways counts.
+    """
+    data = [np.frombuffer(x, dtype="<u2") for x in sorted(blobs)]
+    cells = np.concatenate([np.zeros(0, dtype="<u2"), *data])
+    row = np.repeat(np.arange(len(data)), [len(x) for x in data])
+    weight = np.where(idf > 0, idf, 0)
+    whole = np.bincount(cells, minlength=CELLS) * weight
+    out = np.full(len(common), floor)
+    for i, cell in enumerate(common):
+        has = np.zeros(len(data), dtype=bool)
+        has[row[cells == cell]] = True
+        beside, share = has[row] & (cells != cell), whole.copy()
+        share[cell] = 0
+        share /= max(share.sum(), 1e-12)
+        halves = [np.bincount(cells[beside & (row % 2 == h)], minlength=CELLS) * weight for h in (0, 1)]
+        if min(x.sum() for x in halves) <= 0 or has.sum() == len(data):
+            continue
+        both = halves[0] + halves[1]
+        both = both / both.sum()
+        found = float((both * np.log(np.maximum(both, 1e-12) / np.maximum(share, 1e-12)))[both > 0].sum()) / 2
+        for one, other in (halves, halves[::-1]):
+            seen = other + share * weight.max() * 20  # a few records of the whole table for what the half lacks
+            ratio = np.log(np.maximum(seen / seen.sum(), 1e-12) / np.maximum(share, 1e-12))
+            found += float((one / one.sum() * ratio)[one > 0].sum()) / 4
+        found /= np.log((1 + len(data)) / has.sum())
+        out[i] = np.clip((found - low) / (high - low), floor, 1.0)
+    return out
 
 
 def _position(nodes: list[int]) -> np.ndarray:

@@ -72,6 +72,35 @@ def test_clusters_of_few(spark):
     assert len(cluster.bisect(same).leaves()) <= 1  # words of all records weigh nothing
 
 
+def dominated(copies: bool):
+    """A third of the rows on one subject, or copies of one text, beside six smaller subjects."""
+    rng = random.Random(3)
+    vocabulary = lambda t: [f"topic{t}word{j}" for j in range(25)]
+    text = lambda t: " ".join(rng.sample(vocabulary(t), 12) + rng.sample(FILLER, 8))
+    standing = " ".join(vocabulary(0)[:12] + FILLER[:4])
+    return [("d", f"p{i}", standing if copies and i % 3 == 0 else text(0 if i % 3 == 0 else 1 + i // 3 % 6)) for i in range(1800)]
+
+
+FILLER = [f"filler{j}" for j in range(14)]
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_a_third_of_the_rows_is_a_cluster(spark, copies):
+    v = cluster.vectors_of(spark.createDataFrame(dominated(copies), "document string, paragraph_id string, text string"), "document", "paragraph_id")
+    tree = cluster.bisect(v)
+    examples = {t: " ".join(f"topic{t}word{j}" for j in range(10)) for t in range(7)}
+    found = {int(r["paragraph_id"][1:]): r["exemplar_id"] for r in cluster.belongs(v, cluster.subjects(tree, examples), tree.idf).collect()}
+    assert found == {i: 0 if i % 3 == 0 else 1 + i // 3 % 6 for i in range(1800)}
+
+
+def test_fewer_than_ten_records_have_leaves(spark):
+    for n in (1, 5, 50):
+        v = cluster.vectors_of(spark.createDataFrame([("d", str(i), "one two three") for i in range(n)], "document string, paragraph_id string, text string"), "document", "paragraph_id")
+        tree = cluster.bisect(v)
+        assert [tree.sizes[x] for x in tree.leaves()] == [n]
+        assert {r["cosine"] for r in cluster.assign(v, tree).collect()} == {1.0}
+
+
 def test_bisection_cuts_on_rows_of_a_batch():
     import pyarrow as pa
 
