@@ -251,18 +251,21 @@ def _advance(shared):
             safe = np.maximum(place, 0)
             new = children[safe, (Rows(b.column("cells"), idf).dot(side, safe) <= 0).astype(int)]
             keep = pa.array((place >= 0) & (new >= 0))
-            yield pa.RecordBatch.from_arrays([pa.array(new.astype(np.int32)).filter(keep), b.column("cells").filter(keep)], names=["node", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(new.astype(np.int32)).filter(keep), b.column("pick").filter(keep), b.column("cells").filter(keep)], names=["node", "pick", "cells"])
 
     return run
 
 
 def _samples(rows: DataFrame, sizes: dict[int, int], most: int) -> dict[int, list[bytes]]:
-    """About ``most`` rows of each node, chosen by a hash of their content."""
+    """About ``most`` rows of each node, chosen by ``pick``, a hash of the whole record: copies of one text are drawn one by one.
+
+    No set of words makes up more than ``Limits.tight`` of an open node, so a sample of one set only is out of the question.
+    """
     shares = [0.0] * (max(sizes) + 1)
     for node, n in sizes.items():
         shares[node] = min(1.0, most / max(n, 1))
     share = F.get(F.lit(shares), F.col("node"))
-    chosen = rows.filter(F.pmod(F.xxhash64("cells"), F.lit(1 << 20)) < share * (1 << 20))
+    chosen = rows.filter(F.pmod("pick", F.lit(1 << 40)) < share * (1 << 40)).select("node", "cells")
     out: dict[int, list[bytes]] = {n: [] for n in sizes}
     for r in chosen.collect():
         out[r["node"]].append(bytes(r["cells"]))
@@ -270,15 +273,18 @@ def _samples(rows: DataFrame, sizes: dict[int, int], most: int) -> dict[int, lis
 
 
 def seeds(blobs: list[bytes], idf: np.ndarray, runs: int = 6, steps: int = 8) -> np.ndarray:
-    """Two centres: the best of several two-means runs on a few rows."""
+    """Two centres: the best of several two-means runs on a few rows, each from two rows that are unlike."""
     rows = Rows(pa.array(sorted(blobs), pa.binary()), idf)
     n = len(blobs)
     rng = np.random.default_rng(n)
     best, found = -1.0, np.zeros((2, CELLS))
     zero = np.zeros(n, dtype=np.int64)
     for _ in range(runs):
-        a, b = (rows.sums(np.where(np.arange(n) == i, 0, -1), 1)[0] for i in rng.choice(n, 2, replace=n < 2))
-        centres = np.stack([a, b])
+        a = rows.sums(np.where(np.arange(n) == rng.integers(n), 0, -1), 1)
+        unlike = np.flatnonzero(rows.dot(a, zero) < 1 - 1e-6)
+        if not len(unlike):
+            continue
+        centres = np.stack([a[0], rows.sums(np.where(np.arange(n) == rng.choice(unlike), 0, -1), 1)[0]])
         for _ in range(steps):
             side = (rows.dot((centres[0] - centres[1])[None], zero) <= 0).astype(np.int64)
             sums = rows.sums(side, 2)
@@ -292,7 +298,7 @@ def seeds(blobs: list[bytes], idf: np.ndarray, runs: int = 6, steps: int = 8) ->
 def bisect(vectors: DataFrame, limits: Limits = Limits()) -> Tree:
     """The tree over stored ``vectors`` (with a column cells)."""
     tree = Tree(idf_table(vectors))
-    rows = vectors.filter("length(cells) > 0").select(F.lit(0).alias("node"), "cells")
+    rows = vectors.filter("length(cells) > 0").select(F.lit(0).alias("node"), F.xxhash64(*vectors.columns).alias("pick"), "cells")
     if not tree.idf.any():
         return tree
     size, total = _one_pass(rows, [0], None, tree.idf)
@@ -327,7 +333,7 @@ def bisect(vectors: DataFrame, limits: Limits = Limits()) -> Tree:
         if not following:
             break
         shared = vectors.sparkSession.sparkContext.broadcast((opened, used, children, tree.idf))
-        before, rows = rows, materialize(rows.mapInArrow(_advance(shared), "node int, cells binary"), "open")
+        before, rows = rows, materialize(rows.mapInArrow(_advance(shared), "node int, pick long, cells binary"), "open")
         discard(before)
         opened = following
     discard(rows)

@@ -101,6 +101,15 @@ def test_fewer_than_ten_records_have_leaves(spark):
         assert {r["cosine"] for r in cluster.assign(v, tree).collect()} == {1.0}
 
 
+def test_copies_of_few_texts_are_split(spark):
+    rows = [("d", str(i), " ".join(f"text{i % 8}word{j}" for j in range(10))) for i in range(4000)]
+    v = cluster.vectors_of(spark.createDataFrame(rows, "document string, paragraph_id string, text string"), "document", "paragraph_id")
+    tree = cluster.bisect(v, cluster.Limits(sample=40))
+    assert sorted(tree.sizes[n] for n in tree.leaves()) == [500] * 8
+    drawn = cluster._samples(v.select(F.lit(0).alias("node"), F.xxhash64(*v.columns).alias("pick"), "cells"), {0: 4000}, 40)[0]
+    assert 10 < len(drawn) < 80 and len(set(drawn)) > 1
+
+
 def test_bisection_cuts_on_rows_of_a_batch():
     import pyarrow as pa
 
