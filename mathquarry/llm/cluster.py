@@ -406,20 +406,35 @@ class Subjects:
 
 
 def subjects(tree: Tree, examples: dict[int, str], alike: float = 0.5, least: float = 0.2) -> Subjects:
-    """Joins leaves whose centres have a cosine of at least ``alike`` and gives each exemplar its nearest group.
+    """Joins leaves whose centres have a cosine of at least ``alike``, the most alike first, and gives each exemplar the group of its nearest leaf.
+
+    A link that would bring two exemplars into one group is cut.  Of exemplars
+    with the same nearest leaf only the nearest gets it.
 
     A word speaks for a group by its share in the group's texts against the sum
     of its shares in all groups, the more, the fewer groups it is typical of.
     """
     leaves = sorted(tree.leaves(), key=lambda n: -tree.sizes[n])
     centres = unit(np.stack([tree.sums[n] for n in leaves]))
-    near = centres @ centres.T >= alike
+    home: dict[int, tuple[float, int]] = {}  # place of a leaf: its exemplar
+    for number, text in examples.items():
+        cells = cells_of(text)
+        v = np.zeros(CELLS)
+        v[cells] = tree.idf[cells]
+        cosines = centres @ unit(v)
+        i = int(cosines.argmax())
+        if cosines[i] >= least and cosines[i] > home.get(i, (0.0, 0))[0]:
+            home[i] = (float(cosines[i]), number)
     group = list(range(len(leaves)))
-    for i in range(len(leaves)):
-        for j in range(i):
-            if near[i, j] and group[i] != group[j]:
-                old, new = max(group[i], group[j]), min(group[i], group[j])
-                group = [new if g == old else g for g in group]
+    owner = {i: number for i, (_, number) in home.items()}
+    near = np.triu(centres @ centres.T, 1)
+    links = np.argwhere(near >= alike)
+    for i, j in links[np.argsort(-near[links[:, 0], links[:, 1]], kind="stable")].tolist():
+        old, new = max(group[i], group[j]), min(group[i], group[j])
+        if old != new and not (old in owner and new in owner):
+            group = [new if g == old else g for g in group]
+            if old in owner:
+                owner[new] = owner.pop(old)
     names = sorted(set(group))
     sums = np.stack([sum(tree.sums[n] for n, g in zip(leaves, group) if g == name) for name in names])
     sizes = np.array([sum(tree.sizes[n] for n, g in zip(leaves, group) if g == name) for name in names], dtype=float)
@@ -430,17 +445,7 @@ def subjects(tree: Tree, examples: dict[int, str], alike: float = 0.5, least: fl
     given = typical / np.maximum(typical.sum(axis=0), 1e-12)
     entropy = -(given * np.log(np.maximum(given, 1e-12))).sum(axis=0) / np.log(max(len(names), 2))
     weights = (given * np.maximum(0.0, 1 - entropy)).astype(np.float32)
-    found: list[int | None] = [None] * len(names)
-    score = [0.0] * len(names)
-    middle = unit(sums)
-    for number, text in examples.items():
-        cells = cells_of(text)
-        v = np.zeros(CELLS)
-        v[cells] = tree.idf[cells]
-        cosines = middle @ unit(v)
-        g = int(cosines.argmax())
-        if cosines[g] >= least and cosines[g] > score[g]:
-            found[g], score[g] = number, float(cosines[g])
+    found = [owner.get(name) for name in names]
     return Subjects(found, weights)
 
 

@@ -110,6 +110,22 @@ def test_copies_of_few_texts_are_split(spark):
     assert 10 < len(drawn) < 80 and len(set(drawn)) > 1
 
 
+def test_exemplars_of_chained_leaves_keep_their_groups():
+    """Leaves of two subjects and one of paragraphs that deal with both alike."""
+    own = [cluster.cells_of(" ".join(f"subject{t}word{j}" for j in range(20))) for t in range(2)]
+    sums = np.zeros((3, cluster.CELLS))
+    sums[0, own[0]], sums[1, own[1]] = 10.0, 9.0
+    sums[2, own[0]], sums[2, own[1]] = 3.0, 3.1
+    tree = cluster.Tree(np.ones(cluster.CELLS), {0: 100, 1: 90, 2: 30}, {0: 0.5, 1: 0.5, 2: 0.5}, dict(enumerate(sums)))
+    centres = cluster.unit(sums)
+    assert centres[0] @ centres[1] < 0.1 and min(centres[2] @ centres[0], centres[2] @ centres[1]) > 0.5
+    got = cluster.subjects(tree, {t: " ".join(f"subject{t}word{j}" for j in range(12)) for t in range(2)})
+    assert {e for e in got.exemplars if e is not None} == {0, 1}
+    for t in range(2):
+        g = got.exemplars.index(t)
+        assert got.weights[:, own[t]].sum(axis=1).argmax() == g
+
+
 def test_bisection_cuts_on_rows_of_a_batch():
     import pyarrow as pa
 
