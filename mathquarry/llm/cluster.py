@@ -22,7 +22,9 @@ records count once.  No records, no leaves.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ CELLS = 8192
 
 @dataclass(frozen=True)
 class Limits:
-    """A node of ``least_size`` rows or fewer or of less than ``least_share`` of all, or one as compact as ``tight``, is a leaf.  So is one as
+    """A node of ``least_size`` rows or fewer, or one as compact as ``tight``, is a leaf.  So is one as
     compact as ``loose`` whose best split takes away less of its dispersion than ``least_gain`` and what a split
     of so few rows takes away by chance, ``chance`` by their number."""
 
@@ -48,14 +50,14 @@ class Limits:
     least_gain: float = 0.04
     chance: float = 2.5
     least_size: int = 30
-    least_share: float = 0.001
     passes: int = 3
     sample: int = 1024
+    block: int = 256  # open nodes in one pass, for the memory that their centres and sums take
 
 
 @dataclass
 class Tree:
-    """Nodes by number; node 0 is the root.  ``pairs`` has the two centres and children of each inner node."""
+    """Nodes by number; node 0 is the root.  ``sums`` has the leaves' totals, ``pairs`` has the two centres and children of each inner node."""
 
     idf: np.ndarray
     sizes: dict[int, int] = field(default_factory=dict)
@@ -305,43 +307,50 @@ def bisect(vectors: DataFrame, limits: Limits = Limits()) -> Tree:
     if not size[0]:
         return tree
     _note(tree, 0, int(size[0]), total[0])
-    least = max(limits.least_size, int(size[0] * limits.least_share))
-    may = lambda n: tree.sizes[n] > least and tree.compact[n] < limits.tight
+    may = lambda n: tree.sizes[n] > limits.least_size and tree.compact[n] < limits.tight
     opened = [0] if may(0) else []
     while opened:
         # the largest dispersion first
         opened.sort(key=lambda n: -tree.sizes[n] * (1 - tree.compact[n]))
-        blobs = _samples(rows, {n: tree.sizes[n] for n in opened}, limits.sample)
-        centres = np.stack([seeds(blobs[n], tree.idf) if len(blobs[n]) > 1 else np.zeros((2, CELLS)) for n in opened])
-        for _ in range(limits.passes):
-            sizes, sums = _one_pass(rows, opened, centres, tree.idf)
-            used, centres = centres, unit(sums).reshape(len(opened), 2, CELLS)
-        children = np.full((len(opened), 2), -1, dtype=np.int64)
-        following = []
-        for i, n in enumerate(opened):
-            own, parts = np.linalg.norm(tree.sums[n]), np.linalg.norm(sums[2 * i : 2 * i + 2], axis=1)
-            gain = (parts.sum() - own) / max(tree.sizes[n] - own, 1e-9)
-            if min(sizes[2 * i : 2 * i + 2]) == 0 or tree.compact[n] >= limits.loose and gain < limits.least_gain + limits.chance / tree.sizes[n]:
-                continue
-            a, b = len(tree.sizes), len(tree.sizes) + 1
-            tree.pairs[n] = (used[i], a, b)
-            for c, j in ((a, 2 * i), (b, 2 * i + 1)):
-                _note(tree, c, int(sizes[j]), sums[j])
-                if may(c):
-                    following.append(c)
-                    children[i, j - 2 * i] = c
-        if not following:
+        blocks = [opened[i : i + limits.block] for i in range(0, len(opened), limits.block)]
+        parts = [_split(rows if len(blocks) == 1 else rows.filter(F.col("node").isin(b)), b, tree, limits, may) for b in blocks]
+        opened = [n for following, _ in parts for n in following]
+        if not opened:
             break
-        shared = vectors.sparkSession.sparkContext.broadcast((opened, used, children, tree.idf))
-        before, rows = rows, materialize(rows.mapInArrow(_advance(shared), "node int, pick long, cells binary"), "open")
+        before, rows = rows, materialize(reduce(DataFrame.unionAll, [moved for following, moved in parts if following]), "open")
         discard(before)
-        opened = following
     discard(rows)
     return tree
 
 
+def _split(rows: DataFrame, opened: list[int], tree: Tree, limits: Limits, may: Callable[[int], bool]) -> tuple[list[int], DataFrame]:
+    """Splits the nodes ``opened``, which hold ``rows``: the children that are open, and the rows in them."""
+    blobs = _samples(rows, {n: tree.sizes[n] for n in opened}, limits.sample)
+    centres = np.stack([seeds(blobs[n], tree.idf) if len(blobs[n]) > 1 else np.zeros((2, CELLS)) for n in opened])
+    for _ in range(limits.passes):
+        sizes, sums = _one_pass(rows, opened, centres, tree.idf)
+        used, centres = centres, unit(sums).reshape(len(opened), 2, CELLS)
+    children = np.full((len(opened), 2), -1, dtype=np.int64)
+    following = []
+    for i, n in enumerate(opened):
+        own, parts = np.linalg.norm(tree.sums[n]), np.linalg.norm(sums[2 * i : 2 * i + 2], axis=1)
+        gain = (parts.sum() - own) / max(tree.sizes[n] - own, 1e-9)
+        if min(sizes[2 * i : 2 * i + 2]) == 0 or tree.compact[n] >= limits.loose and gain < limits.least_gain + limits.chance / tree.sizes[n]:
+            continue
+        a, b = len(tree.sizes), len(tree.sizes) + 1
+        tree.pairs[n] = (used[i].astype(np.float32), a, b)
+        for c, j in ((a, 2 * i), (b, 2 * i + 1)):
+            _note(tree, c, int(sizes[j]), sums[j])
+            if may(c):
+                following.append(c)
+                children[i, j - 2 * i] = c
+        del tree.sums[n]
+    shared = rows.sparkSession.sparkContext.broadcast((opened, used, children, tree.idf))
+    return following, rows.mapInArrow(_advance(shared), "node int, pick long, cells binary")
+
+
 def _note(tree: Tree, node: int, size: int, total: np.ndarray) -> None:
-    tree.sizes[node], tree.sums[node], tree.compact[node] = size, total, float(np.linalg.norm(total)) / max(size, 1)
+    tree.sizes[node], tree.sums[node], tree.compact[node] = size, total.astype(np.float32), float(np.linalg.norm(total)) / max(size, 1)
 
 
 def descend(rows: Rows, tree: Tree) -> np.ndarray:

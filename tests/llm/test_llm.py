@@ -110,6 +110,15 @@ def test_copies_of_few_texts_are_split(spark):
     assert 10 < len(drawn) < 80 and len(set(drawn)) > 1
 
 
+def test_a_small_node_of_a_large_table_is_split(spark):
+    """The last node, two texts of 24 rows each, is under a thousandth of the table."""
+    sizes = [35_000, 10_000, 3_000, 900, 270, 80, 24, 24]
+    rows = [("d", f"{t}-{i}", " ".join(f"text{t}word{j}" for j in range(10))) for t, n in enumerate(sizes) for i in range(n)]
+    v = cluster.vectors_of(spark.createDataFrame(rows, "document string, paragraph_id string, text string"), "document", "paragraph_id")
+    tree = cluster.bisect(v, cluster.Limits(block=1))
+    assert sorted((tree.sizes[n] for n in tree.leaves()), reverse=True) == sizes
+
+
 def test_exemplars_of_chained_leaves_keep_their_groups():
     """Leaves of two subjects and one of paragraphs that deal with both alike."""
     own = [cluster.cells_of(" ".join(f"subject{t}word{j}" for j in range(20))) for t in range(2)]
