@@ -10,11 +10,16 @@ alone, the order doesn't change the leaves, so all nodes of a round are split by
 the same passes.
 
 A split starts from the best of several two-means runs on a bounded sample of
-the node's rows; these centres are only where the passes over all rows begin.
-Each pass assigns every row of the open nodes to the nearer of its node's two
-centres and adds up the new ones: partial sums per task, their sum per child by a
-shuffle, one vector per child to the driver.  After a round the rows of finished
-leaves leave the working table, which is stored in the shared folder.
+the node's rows, one node's runs in one task; these centres are only where the
+passes over all rows begin.  Each pass assigns every row of the open nodes to
+the nearer of its node's two centres and adds up the new ones: partial sums per
+task, their sum per child by a shuffle, one vector per child to the driver.  A
+split whose centres have come to rest takes no part in further passes.  After a
+round the rows of finished leaves leave the working table, which is stored in
+the shared folder.
+
+A row's cluster is the leaf whose centre is nearest: a last step of k-means over
+all leaves, which mends what an early split has cut apart.
 
 Null and empty texts and texts without words are in no cluster.  Repeated
 records count once.  No records, no leaves.
@@ -22,7 +27,7 @@ records count once.  No records, no leaves.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -41,43 +46,54 @@ CELLS = 8192
 
 @dataclass(frozen=True)
 class Limits:
-    """A node of ``least_size`` rows or fewer, or one as compact as ``tight``, is a leaf.  So is one as
-    compact as ``loose`` whose best split takes away less of its dispersion than ``least_gain`` and what a split
-    of so few rows takes away by chance, ``chance`` by their number."""
+    """A node as compact as ``tight`` is a leaf.  So is one as compact as ``loose`` whose best split takes away
+    less of its dispersion than ``least_gain`` and what a split of so few rows takes away by chance, ``chance``
+    by their number.  No limit knows the size of the table, and none closes a node for being small."""
 
     loose: float = 0.25
     tight: float = 0.75
     least_gain: float = 0.04
     chance: float = 2.5
-    least_size: int = 30
-    passes: int = 3
-    sample: int = 1024
+    rest: float = 0.99  # cosine of a centre before and after a pass from which on it is at rest
+    passes: int = 8  # over the rows of one split at most; the centres of the last one stand
+    sample: int = 1024  # rows on which a split's first centres are found
     block: int = 256  # open nodes in one pass, for the memory that their centres and sums take
 
 
 @dataclass
 class Tree:
-    """Nodes by number; node 0 is the root.  ``sums`` has the leaves' totals, ``pairs`` has the two centres and children of each inner node."""
+    """Nodes by number; node 0 is the root.  ``sums`` has the leaves' totals, 32 KB each."""
 
     idf: np.ndarray
     sizes: dict[int, int] = field(default_factory=dict)
     compact: dict[int, float] = field(default_factory=dict)
     sums: dict[int, np.ndarray] = field(default_factory=dict)
-    pairs: dict[int, tuple[np.ndarray, int, int]] = field(default_factory=dict)
+    children: dict[int, tuple[int, int]] = field(default_factory=dict)
 
     def leaves(self) -> list[int]:
-        return [n for n in self.sizes if n not in self.pairs and self.sizes[n]]
+        return [n for n in self.sizes if n not in self.children and self.sizes[n]]
+
+
+class Cells(dict):
+    """The cell of each word, hashed once while the dictionary is small."""
+
+    def __missing__(self, word: str) -> int:
+        cell = xxhash.xxh3_64_intdigest(word) % CELLS
+        if len(self) < 200_000:
+            self[word] = cell
+        return cell
 
 
-def cells_of(text: str | None) -> np.ndarray:
-    found = {xxhash.xxh3_64_intdigest(w) % CELLS for w in words(text)}
-    return np.array(sorted(found), dtype="<u2")
+def cells_of(text: str | None, known: Cells | None = None) -> np.ndarray:
+    known = Cells() if known is None else known
+    return np.array(sorted({known[w] for w in words(text)}), dtype="<u2")
 
 
 def _vectors(batches):
     """The key columns and the cells of the text."""
+    known = Cells()
     for b in batches:
-        blobs = [cells_of(t).tobytes() for t in b.column("text").to_pylist()]
+        blobs = [cells_of(t, known).tobytes() for t in b.column("text").to_pylist()]
         names = [n for n in b.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(blobs, pa.binary())], names=[*names, "cells"])
 
@@ -129,11 +145,11 @@ def _document_frequency(batches):
     yield pa.RecordBatch.from_arrays([pa.array([*range(CELLS), CELLS], pa.int32()), pa.array([*total.tolist(), n], pa.int64())], names=["cell", "n"])
 
 
-def idf_table(rows: DataFrame, sample: int = 1 << 14) -> np.ndarray:
+def idf_table(rows: DataFrame, block: int = 256) -> np.ndarray:
     """Weights of the cells, CELLS numbers: log((2 + n) / (1 + df)), 0 only for cells in no record.
 
     A cell in more than a tenth of the records may be filler or the mark of a
-    large subject; ``telling`` finds out on about ``sample`` records.
+    large subject; ``told`` finds out, over all records, ``block`` cells in one pass.
     """
     counts = rows.select("cells").mapInArrow(_document_frequency, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(CELLS + 1, dtype=np.int64)
@@ -141,15 +157,57 @@ def idf_table(rows: DataFrame, sample: int = 1 << 14) -> np.ndarray:
     n, df = int(df[CELLS]), df[:CELLS]
     idf = np.where(df > 0, np.log((2 + n) / (1 + df)), 0.0)
     common = np.flatnonzero(df * 10 > n)
-    if len(common):
-        # a hash of the whole record, so that copies of one text are drawn one by one
-        drawn = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)) < min(1.0, sample / max(n, 1)) * (1 << 40)).select("cells").toArrow()
-        idf[common] *= telling(drawn.column("cells").to_pylist(), idf, common)
+    # halves by a hash of the whole record, so that copies of one text fall on both sides
+    drawn = rows.filter("length(cells) > 0").select(F.pmod(F.xxhash64(*rows.columns), F.lit(2)).cast("int").alias("half"), "cells")
+    for i in range(0, len(common), block):
+        part = common[i : i + block]
+        shared = rows.sparkSession.sparkContext.broadcast((part, idf, df, n))
+        sums = drawn.mapInArrow(_beside(shared), "cell int, half int, counts binary").repartition(min(len(part), 32), "cell")
+        factor = {r["cell"]: r["factor"] for r in sums.mapInArrow(_tell(shared), "cell int, factor double").collect()}
+        idf[part] *= [factor[c] for c in part.tolist()]
+        shared.unpersist()
     return idf
 
 
-def telling(blobs: list[bytes], idf: np.ndarray, common: np.ndarray, low: float = 0.1, high: float = 0.15, floor: float = 0.05) -> np.ndarray:
-    """``floor`` for common cells that are filler, 1 for those that mark a subject, between them by a ramp.
+def _beside(shared):
+    """Of each half of the records and each common cell: in how many of the records with it each cell is."""
+
+    def run(batches):
+        common, _, _, _ = shared.value
+        place = np.full(CELLS, -1, dtype=np.int64)
+        place[common] = np.arange(len(common))
+        total = np.zeros(2 * len(common) * CELLS, dtype=np.int64)
+        for b in batches:
+            rows = Rows(b.column("cells"), np.ones(CELLS))
+            at = np.flatnonzero(place[rows.cells] >= 0)  # each common cell of each row ..
+            row = rows.row[at]
+            n = rows.counts[row]
+            first = np.cumsum(n) - n
+            other = np.arange(n.sum()) - np.repeat(first - rows.starts[row], n)  # .. with all cells of the row
+            base = (2 * place[rows.cells[at]] + b.column("half").to_numpy()[row]) * CELLS
+            total += np.bincount(np.repeat(base, n) + rows.cells[other], minlength=len(total))
+        total = total.reshape(-1, CELLS)
+        used = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(common[used // 2], pa.int32()), pa.array(used % 2, pa.int32()), pa.array([total[u].tobytes() for u in used], pa.binary())], names=["cell", "half", "counts"])
+
+    return run
+
+
+def _tell(shared):
+    def run(batches):
+        _, idf, df, n = shared.value
+        halves: dict[int, np.ndarray] = {}
+        for b in batches:
+            for cell, half, counts in zip(*(c.to_pylist() for c in b.columns)):
+                halves.setdefault(cell, np.zeros((2, CELLS)))[half] += np.frombuffer(counts, dtype=np.int64)
+        found = [(cell, told(cell, both, idf, df, n)) for cell, both in halves.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64())], names=["cell", "factor"])
+
+    return run
+
+
+def told(cell: int, halves: np.ndarray, idf: np.ndarray, df: np.ndarray, n: int, low: float = 0.1, high: float = 0.15, floor: float = 0.05) -> float:
+    """``floor`` for a common cell that is filler, 1 for one that marks a subject, between them by a ramp.
 
     The words beside filler are those of the whole table; the words beside a
     mark are those of its subject.  The measure is the relative entropy of the
@@ -157,31 +215,19 @@ def telling(blobs: list[bytes], idf: np.ndarray, common: np.ndarray, low: float
     chance adds to it; taken from one half and tried on the other, it loses as
     much, so the mean of both ways counts.
     """
-    data = [np.frombuffer(x, dtype="<u2") for x in sorted(blobs)]
-    cells = np.concatenate([np.zeros(0, dtype="<u2"), *data])
-    row = np.repeat(np.arange(len(data)), [len(x) for x in data])
-    weight = np.where(idf > 0, idf, 0)
-    whole = np.bincount(cells, minlength=CELLS) * weight
-    out = np.full(len(common), floor)
-    for i, cell in enumerate(common):
-        has = np.zeros(len(data), dtype=bool)
-        has[row[cells == cell]] = True
-        beside, share = has[row] & (cells != cell), whole.copy()
-        share[cell] = 0
-        share /= max(share.sum(), 1e-12)
-        halves = [np.bincount(cells[beside & (row % 2 == h)], minlength=CELLS) * weight for h in (0, 1)]
-        if min(x.sum() for x in halves) <= 0 or has.sum() == len(data):
-            continue
-        both = halves[0] + halves[1]
-        both = both / both.sum()
-        found = float((both * np.log(np.maximum(both, 1e-12) / np.maximum(share, 1e-12)))[both > 0].sum()) / 2
-        for one, other in (halves, halves[::-1]):
-            seen = other + share * weight.max() * 20  # a few records of the whole table for what the half lacks
-            ratio = np.log(np.maximum(seen / seen.sum(), 1e-12) / np.maximum(share, 1e-12))
-            found += float((one / one.sum() * ratio)[one > 0].sum()) / 4
-        found /= np.log((1 + len(data)) / has.sum())
-        out[i] = np.clip((found - low) / (high - low), floor, 1.0)
-    return out
+    halves, share = halves * idf, df * idf
+    halves[:, cell] = share[cell] = 0
+    share = share / max(share.sum(), 1e-12)
+    if min(halves.sum(axis=1)) <= 0 or df[cell] == n:
+        return floor
+    both = halves.sum(axis=0) / halves.sum()
+    found = float((both * np.log(np.maximum(both, 1e-12) / np.maximum(share, 1e-12)))[both > 0].sum()) / 2
+    for one, other in (halves, halves[::-1]):
+        seen = other + share * idf.max() * 20  # a few records of the whole table for what the half lacks
+        ratio = np.log(np.maximum(seen / seen.sum(), 1e-12) / np.maximum(share, 1e-12))
+        found += float((one / one.sum() * ratio)[one > 0].sum()) / 4
+    found /= np.log((1 + n) / df[cell])
+    return float(np.clip((found - low) / (high - low), floor, 1.0))
 
 
 def _position(nodes: list[int]) -> np.ndarray:
@@ -228,7 +274,7 @@ SUMS = "child int, n long, total binary"
 def _one_pass(rows: DataFrame, nodes: list[int], centres: np.ndarray | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, sums) of the children; two for each open node."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((nodes, centres, idf))
+    shared = spark.sparkContext.broadcast((nodes, None if centres is None else centres.astype(np.float32), idf))
     part = rows.mapInArrow(_partial_sums(shared), SUMS)
     whole = part.repartition(min(2 * len(nodes), 64), "child").mapInArrow(_add_up, SUMS).collect()
     sizes, sums = np.zeros(2 * len(nodes), dtype=np.int64), np.zeros((2 * len(nodes), CELLS))
@@ -258,7 +304,7 @@ def _advance(shared):
     return run
 
 
-def _samples(rows: DataFrame, sizes: dict[int, int], most: int) -> dict[int, list[bytes]]:
+def _sampled(rows: DataFrame, sizes: dict[int, int], most: int) -> DataFrame:
     """About ``most`` rows of each node, chosen by ``pick``, a hash of the whole record: copies of one text are drawn one by one.
 
     No set of words makes up more than ``Limits.tight`` of an open node, so a sample of one set only is out of the question.
@@ -267,11 +313,22 @@ def _samples(rows: DataFrame, sizes: dict[int, int], most: int) -> dict[int, lis
     for node, n in sizes.items():
         shares[node] = min(1.0, most / max(n, 1))
     share = F.get(F.lit(shares), F.col("node"))
-    chosen = rows.filter(F.pmod("pick", F.lit(1 << 40)) < share * (1 << 40)).select("node", "cells")
-    out: dict[int, list[bytes]] = {n: [] for n in sizes}
-    for r in chosen.collect():
-        out[r["node"]].append(bytes(r["cells"]))
-    return out
+    return rows.filter(F.pmod("pick", F.lit(1 << 40)) < share * (1 << 40)).select("node", "cells")
+
+
+def _seeded(shared):
+    """The two first centres of each node whose sample comes in; a task has at most ``Limits.block`` samples, of bounded size."""
+
+    def run(batches):
+        blobs: dict[int, list[bytes]] = {}
+        for b in batches:
+            for node, cells in zip(b.column("node").to_pylist(), b.column("cells").to_pylist()):
+                blobs.setdefault(node, []).append(cells)
+        for node, mine in blobs.items():
+            if len(mine) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int32()), pa.array([seeds(mine, shared.value).astype(np.float32).tobytes()], pa.binary())], names=["node", "centres"])
+
+    return run
 
 
 def seeds(blobs: list[bytes], idf: np.ndarray, runs: int = 6, steps: int = 8) -> np.ndarray:
@@ -307,7 +364,7 @@ def bisect(vectors: DataFrame, limits: Limits = Limits()) -> Tree:
     if not size[0]:
         return tree
     _note(tree, 0, int(size[0]), total[0])
-    may = lambda n: tree.sizes[n] > limits.least_size and tree.compact[n] < limits.tight
+    may = lambda n: tree.compact[n] < limits.tight
     opened = [0] if may(0) else []
     while opened:
         # the largest dispersion first
@@ -325,11 +382,24 @@ def bisect(vectors: DataFrame, limits: Limits = Limits()) -> Tree:
 
 def _split(rows: DataFrame, opened: list[int], tree: Tree, limits: Limits, may: Callable[[int], bool]) -> tuple[list[int], DataFrame]:
     """Splits the nodes ``opened``, which hold ``rows``: the children that are open, and the rows in them."""
-    blobs = _samples(rows, {n: tree.sizes[n] for n in opened}, limits.sample)
-    centres = np.stack([seeds(blobs[n], tree.idf) if len(blobs[n]) > 1 else np.zeros((2, CELLS)) for n in opened])
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(tree.idf)
+    seeded = _sampled(rows, {n: tree.sizes[n] for n in opened}, limits.sample).repartition(min(len(opened), 64), "node").mapInArrow(_seeded(shared), "node int, centres binary")
+    place = {n: i for i, n in enumerate(opened)}
+    centres = np.zeros((len(opened), 2, CELLS))
+    for r in seeded.collect():
+        centres[place[r["node"]]] = np.frombuffer(r["centres"], dtype=np.float32).reshape(2, CELLS)
+    used, sizes, sums = centres.copy(), np.zeros(2 * len(opened), dtype=np.int64), np.zeros((2 * len(opened), CELLS))
+    moving = np.arange(len(opened))
     for _ in range(limits.passes):
-        sizes, sums = _one_pass(rows, opened, centres, tree.idf)
-        used, centres = centres, unit(sums).reshape(len(opened), 2, CELLS)
+        nodes = [opened[i] for i in moving]
+        at = np.stack([2 * moving, 2 * moving + 1], axis=1).ravel()
+        used[moving] = centres[moving]
+        sizes[at], sums[at] = _one_pass(rows if len(moving) == len(opened) else rows.filter(F.col("node").isin(nodes)), nodes, used[moving], tree.idf)
+        centres[moving] = unit(sums[at]).reshape(-1, 2, CELLS)
+        moving = moving[(used[moving] * centres[moving]).sum(axis=2).min(axis=1) < limits.rest]
+        if not len(moving):
+            break
     children = np.full((len(opened), 2), -1, dtype=np.int64)
     following = []
     for i, n in enumerate(opened):
@@ -338,14 +408,14 @@ def _split(rows: DataFrame, opened: list[int], tree: Tree, limits: Limits, may:
         if min(sizes[2 * i : 2 * i + 2]) == 0 or tree.compact[n] >= limits.loose and gain < limits.least_gain + limits.chance / tree.sizes[n]:
             continue
         a, b = len(tree.sizes), len(tree.sizes) + 1
-        tree.pairs[n] = (used[i].astype(np.float32), a, b)
+        tree.children[n] = (a, b)
         for c, j in ((a, 2 * i), (b, 2 * i + 1)):
             _note(tree, c, int(sizes[j]), sums[j])
             if may(c):
                 following.append(c)
                 children[i, j - 2 * i] = c
         del tree.sums[n]
-    shared = rows.sparkSession.sparkContext.broadcast((opened, used, children, tree.idf))
+    shared = spark.sparkContext.broadcast((opened, used.astype(np.float32), children, tree.idf))
     return following, rows.mapInArrow(_advance(shared), "node int, pick long, cells binary")
 
 
@@ -353,45 +423,47 @@ def _note(tree: Tree, node: int, size: int, total: np.ndarray) -> None:
     tree.sizes[node], tree.sums[node], tree.compact[node] = size, total.astype(np.float32), float(np.linalg.norm(total)) / max(size, 1)
 
 
-def descend(rows: Rows, tree: Tree) -> np.ndarray:
-    """The leaf of each row."""
-    node = np.zeros(len(rows.counts), dtype=np.int64)
-    while True:
-        inner = sorted(set(node.tolist()) & set(tree.pairs))
-        if not inner:
-            return node
-        at = _position(inner)
-        place = at[np.minimum(node, len(at) - 1)]
-        place[node >= len(at)] = -1
-        safe = np.maximum(place, 0)
-        sides = np.stack([tree.pairs[n][0][0] - tree.pairs[n][0][1] for n in inner])
-        children = np.array([tree.pairs[n][1:] for n in inner])
-        new = children[safe, (rows.dot(sides, safe) <= 0).astype(int)]
-        node = np.where(place >= 0, new, node)
+def _products(rows: Rows, table: np.ndarray, weighted: bool, most: int = 1 << 22) -> Iterator[tuple[slice, np.ndarray]]:
+    """Parts of the rows with their products with all columns of ``table`` (CELLS x columns), ``most`` numbers at a time; every row has cells."""
+    step = max(1, most // max(table.shape[1], 1))
+    ends = np.append(rows.starts, len(rows.cells))
+    first = 0
+    while first < len(rows.counts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + step, side="right")) - 1)
+        a, z = ends[first], ends[last]
+        part = table[rows.cells[a:z]]
+        yield slice(first, last), np.add.reduceat(part * rows.value[a:z, None] if weighted else part, ends[first:last] - a, axis=0)
+        first = last
 
 
-def _slim(tree: Tree) -> Tree:
-    """What tasks need, in single precision."""
-    pairs = {n: (c.astype(np.float32), a, b) for n, (c, a, b) in tree.pairs.items()}
-    return Tree(tree.idf, dict(tree.sizes), dict(tree.compact), {n: tree.sums[n].astype(np.float32) for n in tree.leaves()}, pairs)
+def nearest_centre(rows: Rows, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column of ``centres`` (CELLS x leaves) with the largest cosine and that cosine, for each row."""
+    best, cosine = np.zeros(len(rows.counts), dtype=np.int64), np.zeros(len(rows.counts))
+    for part, found in _products(rows, centres, True):
+        best[part] = found.argmax(axis=1)
+        cosine[part] = found[np.arange(len(found)), best[part]]
+    return best, cosine
+
+
+def centres_of(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the leaves and their centres as columns, in single precision."""
+    leaves = np.array(sorted(tree.leaves()), dtype=np.int64)
+    centres = np.stack([tree.sums[n] for n in leaves.tolist()]) if len(leaves) else np.zeros((1, CELLS))
+    return leaves, np.ascontiguousarray(unit(centres).T.astype(np.float32))
 
 
 def assign(vectors: DataFrame, tree: Tree) -> DataFrame:
-    """``vectors`` with words: the key columns, ``cluster`` (the leaf) and ``cosine`` to its centre."""
-    shared = vectors.sparkSession.sparkContext.broadcast(_slim(tree))
+    """``vectors`` with words: the key columns, ``cluster`` (the leaf with the nearest centre) and ``cosine`` to it."""
+    shared = vectors.sparkSession.sparkContext.broadcast((*centres_of(tree), tree.idf))
     keys = [f for f in vectors.schema.fields if f.name != "cells"]
     names = [f.name for f in keys]
 
     def run(batches):
-        t = shared.value
-        leaves = sorted(t.leaves())
-        centres = unit(np.stack([t.sums[n] for n in leaves])) if leaves else np.zeros((1, CELLS), dtype=np.float32)
-        at = _position(leaves) if leaves else None
+        leaves, centres, idf = shared.value
         for b in batches:
-            rows = Rows(b.column("cells"), t.idf)
-            node = descend(rows, t)
-            cosine = rows.dot(centres, at[node]) if leaves else np.zeros(len(node))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(node.astype(np.int32)), pa.array(np.round(cosine, 6))], names=[*names, "cluster", "cosine"])
+            best, cosine = nearest_centre(Rows(b.column("cells"), idf), centres)
+            leaf = leaves[best] if len(leaves) else best
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(leaf.astype(np.int32)), pa.array(np.round(cosine, 6))], names=[*names, "cluster", "cosine"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + ", cluster int, cosine double"
     return vectors.filter("length(cells) > 0").mapInArrow(run, schema)
@@ -412,6 +484,7 @@ class Subjects:
 
     exemplars: list[int | None]
     weights: np.ndarray  # groups x CELLS: how much a word speaks for a group
+    group: dict[int, int]  # the group of each leaf
 
 
 def subjects(tree: Tree, examples: dict[int, str], alike: float = 0.5, least: float = 0.2) -> Subjects:
@@ -455,38 +528,39 @@ def subjects(tree: Tree, examples: dict[int, str], alike: float = 0.5, least: fl
     entropy = -(given * np.log(np.maximum(given, 1e-12))).sum(axis=0) / np.log(max(len(names), 2))
     weights = (given * np.maximum(0.0, 1 - entropy)).astype(np.float32)
     found = [owner.get(name) for name in names]
-    return Subjects(found, weights)
+    return Subjects(found, weights, {n: names.index(g) for n, g in zip(leaves, group)})
 
 
-def belongs(vectors: DataFrame, found: Subjects, idf: np.ndarray, rival: float = 0.6, least: float = 1.0) -> DataFrame:
-    """The key columns and ``exemplar_id`` of the rows that are mainly about one group with an exemplar.
+def belongs(vectors: DataFrame, tree: Tree, found: Subjects, rival: float = 0.6, least: float = 1.0) -> DataFrame:
+    """The key columns and ``exemplar_id`` of the rows of an exemplar's cluster that are mainly about its subject.
 
-    A row's evidence for a group is the sum of what its words say for it.  The
-    group with most must have ``least`` or more, and the next no more than
-    ``rival`` of that: else the row deals with several subjects alike or with none.
+    A row's cluster is the leaf whose centre is nearest, as in ``assign``, and with it a
+    group of leaves and perhaps an exemplar.  A check of the words follows: the evidence
+    for a group is the sum of what the row's words say for it.  The row's own group must
+    have most of it and ``least`` or more, the next group no more than ``rival`` of that;
+    else the row deals with several subjects alike or with none.
     """
     keys = [f for f in vectors.schema.fields if f.name != "cells"]
     names = [f.name for f in keys]
-    weights = np.where(idf > 0, found.weights, 0).T.astype(np.float32).copy()
+    leaves, centres = centres_of(tree)
+    weights = np.where(tree.idf > 0, found.weights, 0).T.astype(np.float32).copy()
     numbers = np.array([-1 if e is None else e for e in found.exemplars], dtype=np.int32)
-    shared = vectors.sparkSession.sparkContext.broadcast((weights, numbers))
+    group = np.array([found.group[n] for n in leaves.tolist()], dtype=np.int64)
+    shared = vectors.sparkSession.sparkContext.broadcast((centres, group, weights, numbers, tree.idf))
 
     def run(batches):
-        table, known = shared.value
+        centres, group, table, known, idf = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            c = b.column("cells")
-            _, offsets, data = c.buffers()
-            o = np.frombuffer(offsets, dtype=np.int32)[c.offset : c.offset + len(c) + 1] // 2
-            evidence = np.add.reduceat(table[np.frombuffer(data, dtype="<u2")[o[0] : o[-1]]], o[:-1] - o[0], axis=0)
-            best = evidence.argmax(axis=1)
-            at = np.arange(len(best))
-            most = evidence[at, best]
-            evidence[at, best] = 0
-            keep = (most >= least) & (evidence.max(axis=1) <= rival * most) & (known[best] >= 0)
+            rows = Rows(b.column("cells"), idf)
+            own = group[nearest_centre(rows, centres)[0]]
+            keep = np.zeros(len(own), dtype=bool)
+            for part, evidence in _products(rows, table, False):
+                mine, at = own[part], np.arange(len(evidence))
+                most = evidence[at, mine]
+                evidence[at, mine] = 0
+                keep[part] = (most >= least) & (evidence.max(axis=1) <= rival * most) & (known[mine] >= 0)
             mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([*(b.column(n).filter(mask) for n in names), pa.array(known[best][keep], pa.int32())], names=[*names, "exemplar_id"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n).filter(mask) for n in names), pa.array(known[own][keep], pa.int32())], names=[*names, "exemplar_id"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + ", exemplar_id int"
     return vectors.filter("length(cells) > 0").mapInArrow(run, schema)

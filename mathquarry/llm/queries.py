@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not tree.leaves():
         return vectors.select("document", "paragraph_id", F.lit(0).alias("exemplar_id")).limit(0)
     examples = {r["exemplar_id"]: r["text"] for r in table(spark, sf_dir, "exemplar").collect()}  # a fixed table of 19 rows
-    return cluster.belongs(vectors, cluster.subjects(tree, examples), tree.idf)
+    return cluster.belongs(vectors, tree, cluster.subjects(tree, examples))
 
 
 def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

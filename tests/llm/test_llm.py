@@ -46,7 +46,7 @@ def paragraphs(spark):
 def test_clusters(spark):
     v = cluster.vectors_of(paragraphs(spark).withColumns({c: F.lit(1) for c in ("cells", "cluster", "node")}), "document", "paragraph_id")
     assert v.count() == 605
-    tree = cluster.bisect(v, cluster.Limits(least_size=60))
+    tree = cluster.bisect(v, cluster.Limits(tight=0.65))
     got = {(r["document"], r["paragraph_id"]): r["cluster"] for r in cluster.assign(v, tree).collect()}
     assert len(got) == 603  # texts without words are in no cluster
     by_topic = collections.defaultdict(collections.Counter)
@@ -57,7 +57,7 @@ def test_clusters(spark):
     assert len(set(mains.values())) == 12 and all(c.most_common(1)[0][1] == 50 for c in by_topic.values())
     assert sum(tree.sizes[n] for n in tree.leaves()) == 603
     examples = {7: "topic0word1 topic0word2 topic0word3", 8: "topic2word1 topic2word5 topic2word9", 9: "nothing of this"}
-    found = {(r[0], r[1]): r[2] for r in cluster.belongs(v, cluster.subjects(tree, examples), tree.idf).collect()}
+    found = {(r[0], r[1]): r[2] for r in cluster.belongs(v, tree, cluster.subjects(tree, examples)).collect()}
     assert all(found.get(("d0" if i % 7 == 0 else f"d{i % 7}", f"p{i}")) == {0: 7, 2: 8}.get(i % 12) for i in range(600))
     assert ("x", "mixed") not in found and ("x", "none") not in found
     near = cluster.nearest(cluster.assign(v, tree), 2, "document", "paragraph_id").groupBy("cluster").count().collect()
@@ -89,7 +89,7 @@ def test_a_third_of_the_rows_is_a_cluster(spark, copies):
     v = cluster.vectors_of(spark.createDataFrame(dominated(copies), "document string, paragraph_id string, text string"), "document", "paragraph_id")
     tree = cluster.bisect(v)
     examples = {t: " ".join(f"topic{t}word{j}" for j in range(10)) for t in range(7)}
-    found = {int(r["paragraph_id"][1:]): r["exemplar_id"] for r in cluster.belongs(v, cluster.subjects(tree, examples), tree.idf).collect()}
+    found = {int(r["paragraph_id"][1:]): r["exemplar_id"] for r in cluster.belongs(v, tree, cluster.subjects(tree, examples)).collect()}
     assert found == {i: 0 if i % 3 == 0 else 1 + i // 3 % 6 for i in range(1800)}
 
 
@@ -106,7 +106,7 @@ def test_copies_of_few_texts_are_split(spark):
     v = cluster.vectors_of(spark.createDataFrame(rows, "document string, paragraph_id string, text string"), "document", "paragraph_id")
     tree = cluster.bisect(v, cluster.Limits(sample=40))
     assert sorted(tree.sizes[n] for n in tree.leaves()) == [500] * 8
-    drawn = cluster._samples(v.select(F.lit(0).alias("node"), F.xxhash64(*v.columns).alias("pick"), "cells"), {0: 4000}, 40)[0]
+    drawn = [bytes(r["cells"]) for r in cluster._sampled(v.select(F.lit(0).alias("node"), F.xxhash64(*v.columns).alias("pick"), "cells"), {0: 4000}, 40).collect()]
     assert 10 < len(drawn) < 80 and len(set(drawn)) > 1
 
 
