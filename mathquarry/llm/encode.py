@@ -1,13 +1,19 @@
 """Problem 6: encoding of a corpus by content-defined chunk reuse.
 
 A rolling hash over the characters cuts every text into chunks at places that
-depend on the content only, so texts that share a passage share its chunks.  A
-chunk that occurs more than once in the corpus is encoded once; the others are
-encoded where they are read.  A chunk's inner part, between the first and the
-last place where a token must begin whatever stands around it, is final.  The
-joins - the rest of one chunk and the beginning of the next - are repaired by
-encoding them together, reaching over further chunks until such a place is met
-on both sides.  The result is that of encoding each text as a whole.
+depend on the content only, so texts that share a passage share its chunks.
+The hashes of all chunks are counted over the corpus, exactly and at any size;
+a text none of whose chunks occurs twice is encoded as a whole.  In the others a
+chunk that occurs more than once is encoded once; the rest are encoded where
+they are read.  A chunk's inner part, between the first and the last place where
+a token must begin whatever stands around it, is final.  The joins - the rest
+of one chunk and the beginning of the next - are repaired by encoding them
+together, reaching over further chunks until such a place is met on both sides.
+The result is that of encoding each text as a whole.
+
+The texts are read twice, once for the hashes and once for the encoding.  What
+goes from the first to the second are the texts that share something, by a digest
+of the text, with the hashes they share; a table, joined as its size allows.
 
 Null and empty texts have an empty list of ids.  Equal doc_ids stay separate
 rows.  Extra columns of the input are ignored.
@@ -27,9 +33,6 @@ from mathquarry.session import materialize
 WINDOW = 32
 CHUNK_BITS = 10  # a cut in 1,024 places on average
 MIN_CHUNK = 256
-#: Bits of the filter of hashes that may be shared: its size, 4 MiB, is fixed.
-FILTER_BITS = 1 << 25
-BUCKET = 32768  # bits in one row of Spark's bitmap aggregates
 
 
 def cut_positions(texts: list[str], bits: int = CHUNK_BITS, least: int = MIN_CHUNK) -> list[list[int]]:
@@ -70,8 +73,9 @@ def chunk_hash(chunk: str) -> bytes:
     return xxhash.xxh3_128_digest(chunk.encode("utf-8"))
 
 
-def _bit(h: bytes) -> int:
-    return int.from_bytes(h[:8], "little") % FILTER_BITS
+def _half(h: bytes) -> int:
+    """Half of a chunk's hash, by which chunks are counted; two chunks with one half only seem shared, which changes no result."""
+    return int.from_bytes(h[:8], "little", signed=True)
 
 
 def encode_parts(chunk: str, enc) -> tuple[str, list[int] | None, str]:
@@ -102,100 +106,83 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
 
 def _hash_rows(batches):
     for b in batches:
-        seen: list[int] = []
+        keys, halves, counts = [], [], []
         texts = _texts(b, "text")
-        for text, cuts in zip(texts, cut_positions(texts)):
+        for key, text, cuts in zip(b.column("key").to_pylist(), texts, cut_positions(texts)):
+            found: dict[int, int] = {}
             last = 0
             for c in cuts:
                 if c > last:
-                    seen.append(_bit(chunk_hash(text[last:c])))
+                    half = _half(chunk_hash(text[last:c]))
+                    found[half] = found.get(half, 0) + 1
                 last = c
-        bits, n = np.unique(np.array(seen, dtype=np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int64()), pa.array(n, pa.int64())], names=["bit", "n"])
+            keys += [key] * len(found)
+            halves += found
+            counts += found.values()
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(halves, pa.int64()), pa.array(counts, pa.int64())], names=["key", "half", "n"])
 
 
-def _shared_filter(docs: DataFrame) -> bytes:
-    """Bits of the chunk hashes that occur at least twice in the corpus.
+def sharing(docs: DataFrame) -> DataFrame:
+    """(key, shared): the texts of ``docs`` (key, text) with a chunk that occurs at least twice in the corpus, and the halves of those chunks' hashes.
 
-    The counts are per bit, so two chunks with one bit count as shared, which
-    costs a little work and changes no result.  At most FILTER_BITS / BUCKET
-    rows of BUCKET bits reach the driver.
+    A stored table; an array is no longer than its text has chunks.
     """
-    rows = docs.select("text").mapInArrow(_hash_rows, "bit long, n long")
-    bits = rows.groupBy("bit").agg(F.sum("n").alias("n")).filter("n > 1").select((F.col("bit") + 1).alias("bit"))
-    maps = bits.groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m"))
-    out = bytearray(FILTER_BITS // 8)
-    for r in maps.collect():
-        at = (r["b"] - 1) * (BUCKET // 8)
-        out[at : at + BUCKET // 8] = bytes(r["m"])
-    return bytes(out)
+    hashes = materialize(docs.filter("text <> ''").select("key", "text").mapInArrow(_hash_rows, "key binary, half long, n long"), "hashes")
+    twice = hashes.groupBy("half").agg(F.sum("n").alias("n")).filter("n > 1").select("half")
+    return materialize(hashes.join(twice, "half", "left_semi").groupBy("key").agg(F.collect_set("half").alias("shared")), "sharing")
 
 
-def _reader(flt, name: str, folder: str, shared: bool):
-    """Rows of the texts without shared chunks, or the chunks of the others."""
+PARTS = "row binary, doc_id long, seq int, h binary, text string, head string, ids binary, tail string, whole array<int>"
 
-    def direct(batches):
-        enc = encoder(name, folder)
-        bits = np.frombuffer(flt.value, dtype=np.uint8)
-        for b in batches:
-            texts = _texts(b, "text")
-            ids, keep = [], []
-            for k, (text, cuts) in enumerate(zip(texts, cut_positions(texts))):
-                if not _any_shared(text, cuts, bits):
-                    keep.append(k)
-                    ids.append(np.array(enc.encode_ordinary(text), dtype=np.int32))
-            yield from _id_batches([b.column("doc_id")[k].as_py() for k in keep], ids)
-
-    def chunks(batches):
+
+def _parts(name: str, folder: str):
+    """A text that shares nothing to one row of all its ids, another to a row for each chunk."""
+    columns = [c.split()[0] for c in PARTS.split(", ")]
+    types = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.binary(), pa.string()]
+
+    def run(batches):
         enc = encoder(name, folder)
-        bits = np.frombuffer(flt.value, dtype=np.uint8)
-        names = ["row", "doc_id", "seq", "h", "text", "head", "ids", "tail"]
-        types = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.binary(), pa.string()]
         for b in batches:
-            texts = _texts(b, "text")
+            texts, doc_ids, shared = _texts(b, "text"), b.column("doc_id").to_pylist(), b.column("shared").to_pylist()
+            some = [i for i, s in enumerate(shared) if s]
+            cuts = dict(zip(some, cut_positions([texts[i] for i in some])))
             rows: list[tuple] = []
-            doc_ids = b.column("doc_id").to_pylist()
-            for text, cuts, doc in zip(texts, cut_positions(texts), doc_ids):
-                if not _any_shared(text, cuts, bits):
+            whole: list[np.ndarray | None] = []
+            for i, (text, doc) in enumerate(zip(texts, doc_ids)):
+                if i not in cuts:
+                    rows.append((None, doc, None, None, None, None, None, None))
+                    whole.append(np.array(enc.encode_ordinary(text), dtype=np.int32))
                     continue
-                row, last = xxhash.xxh3_128_digest(f"{doc}|{text}".encode()), 0
-                for seq, c in enumerate(cuts):
+                row, last, mine = xxhash.xxh3_128_digest(f"{doc}|{text}".encode()), 0, set(shared[i])
+                for seq, c in enumerate(cuts[i]):
                     chunk, last = text[last:c], c
                     h = chunk_hash(chunk)
-                    if _has(bits, h):
+                    if _half(h) in mine:
                         rows.append((row, doc, seq, h, chunk, None, None, None))
                     else:
                         head, mid, tail = encode_parts(chunk, enc)
                         rows.append((row, doc, seq, None, None, head, _pack(mid), tail))
-            columns = list(zip(*rows)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    return chunks if shared else direct
-
-
-def _has(bits: np.ndarray, h: bytes) -> bool:
-    p = _bit(h)
-    return bool(bits[p >> 3] >> (p & 7) & 1)
+                    whole.append(None)
+            parts = list(zip(*rows)) if rows else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(parts, types)), _lists(whole)], names=columns)
 
-
-def _any_shared(text: str, cuts: list[int], bits: np.ndarray) -> bool:
-    last = 0
-    for c in cuts:
-        if c > last and _has(bits, chunk_hash(text[last:c])):
-            return True
-        last = c
-    return False
+    return run
 
 
 def _pack(ids: list[int] | None) -> bytes | None:
     return None if ids is None else np.array(ids, dtype=np.int32).tobytes()
 
 
-def _id_batches(doc_ids: list, ids: list[np.ndarray]):
+def _lists(ids: list[np.ndarray | None]) -> pa.Array:
     offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-    np.cumsum([len(x) for x in ids], out=offsets[1:])
-    values = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], names=["doc_id", "ids"])
+    np.cumsum([0 if x is None else len(x) for x in ids], out=offsets[1:])
+    there = [x for x in ids if x is not None]
+    values = np.concatenate(there) if there else np.zeros(0, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array([x is None for x in ids], pa.bool_()))
+
+
+def _id_batches(doc_ids: list, ids: list[np.ndarray]):
+    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), _lists(ids)], names=["doc_id", "ids"])
 
 
 def _encode_chunks(name: str, folder: str):
@@ -241,12 +228,11 @@ def _assemble(name: str, folder: str):
 
 def encode_corpus(docs: DataFrame, name: str = DEFAULT_NAME, folder: str = DEFAULT_DIR) -> DataFrame:
     """(doc_id, ids) for every row of ``docs`` (doc_id long, text string)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    flt = spark.sparkContext.broadcast(_shared_filter(docs))
-    direct = docs.mapInArrow(_reader(flt, name, folder, False), "doc_id long, ids array<int>")
-    schema = "row binary, doc_id long, seq int, h binary, text string, head string, ids binary, tail string"
-    chunks = materialize(docs.mapInArrow(_reader(flt, name, folder, True), schema), "chunks")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    told = docs.join(sharing(docs), "key", "left").select("doc_id", "text", "shared")
+    stored = materialize(told.mapInArrow(_parts(name, folder), PARTS), "parts")
+    direct = stored.filter("whole is not null").select("doc_id", F.col("whole").alias("ids"))
+    chunks = stored.filter("whole is null").drop("whole")
     # each shared chunk once: the partial aggregate drops copies before the shuffle
     once = chunks.filter("h is not null").groupBy("h").agg(F.first("text").alias("text"))
     encoded = once.mapInArrow(_encode_chunks(name, folder), "h binary, head string, ids binary, tail string")

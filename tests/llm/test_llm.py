@@ -322,6 +322,18 @@ def test_encoding_is_that_of_whole_texts(spark):
     assert encode.encode_corpus(docs.limit(0)).count() == 0
 
 
+def test_only_shared_chunks_count_as_shared(spark):
+    """Whatever the size of the corpus, a text is told to share what occurs twice, and nothing else."""
+    rng = random.Random(11)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    common, own = text() * 2, [text() for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(own)] + [(400, common), (401, own[0] + "x"), (402, None), (403, ""), (404, "a"), (405, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.unhex(F.md5("text")))
+    got = {r["doc_id"]: set(r["shared"]) for r in encode.sharing(docs).join(docs, "key").collect()}
+    assert set(got) == {0, 400, 401, 404, 405}
+    assert got[0] == got[401] and len(got[0]) < len(encode.cut_positions([own[0]])[0]) + 1
+
+
 def test_repaired_joins():
     enc = tokenizer.encoder()
     rng = random.Random(4)
