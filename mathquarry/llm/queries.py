@@ -50,9 +50,9 @@ def _term_tables(spark: SparkSession, sf_dir: str):
         yield f"{name}.{column}", records.select(column), terms_of
 
 
-def _marked(spark: SparkSession, sf_dir: str, sigma: int) -> DataFrame:
-    """All n-grams of both fields, with the mark of those too rare or too common."""
-    parts = [ngrams.ngram_counts(texts, terms_of, sigma).withColumn("field", F.lit(field)) for field, texts, terms_of in _term_tables(spark, sf_dir)]
+def _marked(spark: SparkSession, sf_dir: str, longest: int) -> DataFrame:
+    """The n-grams of up to ``longest`` terms of both fields, with the mark of those too rare or too common; always from the suffixes of NGRAM_LENGTH terms."""
+    parts = [ngrams.ngram_counts(texts, terms_of, NGRAM_LENGTH, longest).withColumn("field", F.lit(field)) for field, texts, terms_of in _term_tables(spark, sf_dir)]
     counts = parts[0].unionByName(parts[1])
     totals = {r["field"]: r["n"] for r in counts.filter("n_terms = 0").groupBy("field").agg(F.sum("n_records").alias("n")).collect()}  # two rows
     total = F.lit(None).cast("long")
