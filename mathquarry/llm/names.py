@@ -1,10 +1,11 @@
 """Problem 3: linking spellings of names by a pigeonhole segment join.
 
-A name of the dictionary is cut into k + 1 segments; a typed form within edit
-distance k of it holds one of them unchanged, shifted by at most k.  So the
-dictionary becomes an inverted index of segments, and every typed form looks up
-the substrings that may be one of them.  What meets there is verified with a
-banded edit distance and by the given names.  A spelling is linked to a name
+A name of the dictionary is cut into k + 1 segments, k being the edits its
+length allows; a typed form within edit distance k of it holds one of them
+unchanged, shifted by at most k, or two letters are swapped over the border of
+its first or last one.  So the dictionary becomes an inverted index of segments,
+and every typed form looks up the substrings that may be one of them.  What
+meets there is verified with a banded edit distance and by the given names.  A spelling is linked to a name
 only if no other name suits it as well.
 
 Typed forms are the parts of a name that may be its family name: people put it
@@ -31,8 +32,12 @@ from pyspark.sql import functions as F
 from mathquarry.session import materialize
 
 DISTANCE = 2
+#: Letters from which on a form may have DISTANCE edits; shorter ones may have one.
+LONG = 7
 #: Most rows of the segment index, of about 60 bytes, that are broadcast.
 BROADCAST_SEGMENTS = 200_000
+#: Parts of a segment's names in a join by shuffle.
+SALTS = 8
 
 # Letters that look like Latin ones, in the order of their alphabet.
 LOOKALIKE = dict(zip("аеорсухіјѕһԁѵАВЕКМНОРСТУХІЈЅαεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdvABEKMHOPCTYXIJSaeiknoptuxABEZHIKMNOPTYX", strict=True))
@@ -190,23 +195,38 @@ def segments(n: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def indexed(form: str, k: int = DISTANCE) -> list[int]:
+def edits(length: int) -> int:
+    """Edits that a form of so many letters may have."""
+    return DISTANCE if length >= LONG else 1
+
+
+def indexed(form: str) -> list[int]:
     """Keys of a dictionary form: its length, number and text of each segment."""
-    return [_key(len(form), i, form[at : at + size]) for i, (at, size) in enumerate(segments(len(form), k)) if size]
+    return [_key(len(form), i, form[at : at + size]) for i, (at, size) in enumerate(segments(len(form), edits(len(form)))) if size]
 
 
-def looked_up(form: str, k: int = DISTANCE) -> set[int]:
-    """Keys of all substrings that may be a segment of a form within distance k."""
+def looked_up(form: str) -> set[int]:
+    """Keys of all substrings that may be a segment of a dictionary form within the distance that its length allows."""
     out, n = set(), len(form)
-    for length in range(max(1, n - k), n + k + 1):
-        for i, (at, size) in enumerate(segments(length, k)):
+    for length in range(max(1, n - DISTANCE), n + DISTANCE + 1):
+        k, shift = edits(length), n - length
+        if abs(shift) > k:
+            continue
+        parts = segments(length, k)
+        for i, (at, size) in enumerate(parts):
             if not size:
                 continue
             # with i edits before the segment at most, and k - i after it
-            shift = n - length
             lo, hi = max(at - i, at + shift - (k - i), 0), min(at + i, at + shift + (k - i), n - size)
             for p in range(lo, hi + 1):
                 out.add(_key(length, i, form[p : p + size]))
+        # A swap of letters over a border spoils two segments: the first or the last one is whole but for its letter there.
+        size = parts[0][1]
+        if 0 < size < n:
+            out.add(_key(length, 0, form[: size - 1] + form[size]))
+        size = parts[-1][1]
+        if 0 < size < n:
+            out.add(_key(length, k, form[n - size - 1] + form[n - size + 1 :]))
     return out
 
 
@@ -300,7 +320,7 @@ def suits(name: str, preferred: str, k: int = DISTANCE) -> int | None:
     for typed, names in readings(name):
         g = None
         for form, extra in forms:
-            most = k if len(form) >= 7 else 1
+            most = min(k, edits(len(form)))
             d = distance(typed, form, most)
             if d <= most:
                 g = given_cost(names, known) if g is None else g
@@ -337,12 +357,19 @@ def _verify(batches):
 
 def link_names(typed: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(name, id, cost) for the distinct ``typed`` (name) that are spellings of exactly one name of ``dictionary`` (id, preferred)."""
-    names = typed.select(F.col("name").cast("string")).filter("name is not null and trim(name) <> ''").distinct()
+    n = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number of partitions by name, so that few bytes of names aren't one task
+    names = typed.select(F.col("name").cast("string")).filter("name is not null and trim(name) <> ''").repartition(n, "name").distinct()
     index = dictionary.select(F.col("id").cast("string"), F.col("preferred").cast("string")).distinct().mapInArrow(_index_rows, "id string, preferred string, segment long")
     index = materialize(index, "segments")
     probes = names.mapInArrow(_lookup_rows, "name string, segment long")
-    # A small dictionary goes to the names; a large one and the names' segments meet by a shuffle.
-    met = probes.join(F.broadcast(index) if index.count() <= BROADCAST_SEGMENTS else index, "segment").select("name", "id", "preferred").distinct()
+    # A small dictionary goes to the names; a large one and the names' segments meet by a shuffle, each segment in parts.
+    if index.count() <= BROADCAST_SEGMENTS:
+        met = probes.join(F.broadcast(index), "segment")
+    else:
+        salted = probes.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int"))
+        met = salted.join(index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["segment", "salt"])
+    met = met.select("name", "id", "preferred").repartition(n, "name", "id", "preferred").distinct()
     scored = met.mapInArrow(_verify, "name string, id string, cost int").filter(F.col("cost") <= MOST)
     per = scored.groupBy("name", "id").agg(F.min("cost").alias("cost"))
     # the least cost, and how many have it, without gathering a name's candidates

@@ -10,10 +10,13 @@ Two sets whose Jaccard similarity is at least ``t`` share at least
 words, a and b being their sizes.  So they share one among the first
 ``size - need + 1`` words of each, and n among the first ``size - need + n``.
 Sets are joined on single words of these prefixes while a word is in at most
-``hot`` sets, on n-grams of prefix words where it is in more.  Each joined pair
+``hot`` sets, on n-grams of prefix words where it is in more; ``hot`` grows with
+the square root of the number of records, so that the pairs that meet in one word
+grow no faster than the records.  Each joined pair
 passes the length filter, the positional filter (what the words after the
-shared one can still give) and the suffix filter (the bits in which two 128-bit
-signatures differ bound the words in which the sets differ).  Each pair is then
+shared one can still give) and the suffix filter (a set's signature has 64 bits,
+each the parity of the words in one of 64 parts; every part in which two sets
+differ in parity has a word in which they differ).  Each pair is then
 verified once on its words.
 
 Null, empty and word-less texts are in no class; a record without a key is in a class but in
@@ -38,8 +41,10 @@ from mathquarry.session import materialize
 
 #: Cells of the frequency table: its size, 4 MiB, is fixed.
 CELLS = 1 << 20
-#: Sets with a word from which on it is joined as part of n-grams.
-HOT = 4000
+#: Sets with a word from which on it is joined as part of n-grams: so many times the root of the number of records.
+HOT = 7.0
+#: Cells in one row of the frequency table on its way to the driver.
+BUCKET = 1 << 12
 THRESHOLD = (4, 5)
 
 
@@ -58,20 +63,31 @@ def _frequencies(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 
 
+def _buckets(batches):
+    """(bucket, counts): BUCKET cells in one row; the cells of a bucket are in one task."""
+    found: dict[int, np.ndarray] = {}
+    for b in batches:
+        cells, n = b.column("cell").to_numpy(), b.column("n").to_numpy()
+        for k in np.unique(cells // BUCKET).tolist():
+            mine = cells // BUCKET == k
+            found.setdefault(k, np.zeros(BUCKET, dtype=np.int32))[cells[mine] % BUCKET] = n[mine]
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["bucket", "counts"])
+
+
 def frequency_table(records: DataFrame) -> np.ndarray:
-    """Records of each cell, capped at the largest int32; at most CELLS rows reach the driver."""
+    """Records of each cell, capped at the largest int32; CELLS / BUCKET rows reach the driver, 4 MiB whatever the records are."""
     rows = records.select("field", "text").mapInArrow(_frequencies, "cell int, n long").groupBy("cell").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
-    got = rows.toArrow()
     table = np.zeros(CELLS, dtype=np.int32)
-    table[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    for r in rows.repartition(16, F.floor(F.col("cell") / BUCKET)).mapInArrow(_buckets, "bucket int, counts binary").collect():
+        table[r["bucket"] * BUCKET : (r["bucket"] + 1) * BUCKET] = np.frombuffer(r["counts"], dtype=np.int32)
     return table
 
 
 def _sets(cells):
-    """(field, key, text) to (field, key, set id, words rare first, how many of them are rare, two signature words)."""
+    """(field, key, text) to (field, key, set id, words rare first, how many of them are rare, signature)."""
 
     def run(batches):
-        freq = cells.value
+        freq, hot = cells.value
         seen: set = set()
         for b in batches:
             sets = [hash_set(field, text) for field, text in zip(b.column("field").to_pylist(), b.column("text").to_pylist())]
@@ -87,10 +103,8 @@ def _sets(cells):
             h, f = h[order], f[order]
             offsets = np.concatenate([[0], np.cumsum(n)])
             starts = offsets[:-1]
-            lone, cold = np.add.reduceat((f < 2).astype(np.int32), starts), np.add.reduceat((f <= HOT).astype(np.int32), starts)
-            spot = (h >> np.uint64(40)) % np.uint64(128)
-            bit = np.uint64(1) << (spot % np.uint64(64))
-            s1, s2 = (np.bitwise_or.reduceat(np.where(half, bit, np.uint64(0)), starts).view(np.int64) for half in (spot < 64, spot >= 64))
+            lone, cold = np.add.reduceat((f < 2).astype(np.int32), starts), np.add.reduceat((f <= hot).astype(np.int32), starts)
+            parity = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(40)) % np.uint64(64), starts).view(np.int64)
             raw = h.tobytes()
             rids = [xxhash.xxh3_128_digest(raw[8 * a : 8 * z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             ids = np.frombuffer(b"".join(rids), dtype=np.int64)[::2]
@@ -100,8 +114,8 @@ def _sets(cells):
             words_ = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
             pick = pa.array(there)
             yield pa.RecordBatch.from_arrays(
-                [b.column("field").take(pick), b.column("key").take(pick), pa.array(rids, pa.binary()), pa.array(ids), pa.array(n.astype(np.int32)), words_, pa.array(lone.astype(np.int32)), pa.array(cold.astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(fresh)],
-                names=["field", "key", "rid", "id", "size", "words", "lone", "cold", "s1", "s2", "fresh"],
+                [b.column("field").take(pick), b.column("key").take(pick), pa.array(rids, pa.binary()), pa.array(ids), pa.array(n.astype(np.int32)), words_, pa.array(lone.astype(np.int32)), pa.array(cold.astype(np.int32)), pa.array(parity), pa.array(fresh)],
+                names=["field", "key", "rid", "id", "size", "words", "lone", "cold", "sig", "fresh"],
             )
 
     return run
@@ -109,8 +123,9 @@ def _sets(cells):
 
 def word_sets(records: DataFrame) -> DataFrame:
     """Stored table of the sets of ``records`` (field, key, text); ``fresh`` marks one row at least of each set."""
-    cells = records.sparkSession.sparkContext.broadcast(frequency_table(records))
-    schema = "field string, key string, rid binary, id long, size int, words array<long>, lone int, cold int, s1 long, s2 long, fresh boolean"
+    hot = max(1, int(HOT * math.sqrt(records.count())))
+    cells = records.sparkSession.sparkContext.broadcast((frequency_table(records), hot))
+    schema = "field string, key string, rid binary, id long, size int, words array<long>, lone int, cold int, sig long, fresh boolean"
     return materialize(records.select("field", "key", "text").mapInArrow(_sets(cells), schema), "sets")
 
 
@@ -132,7 +147,7 @@ def _keys(sets: DataFrame, side: str, t) -> DataFrame:
     that the words from there on, and no earlier ones, can be shared: the word's
     position, or one less than that of the second word.
     """
-    base = ["id", "size", "s1", "s2"]
+    base = ["id", "size", "sig"]
     prefixed = sets.withColumn("prefix", _prefix(side, t))
     # Words of one record only are in no pair; hot words go in n-grams.
     single = prefixed.filter("lone < prefix and lone < cold").select(*base, "lone", "cold", F.posexplode(F.slice("words", F.lit(1), F.col("prefix"))).alias("pos", "gram"))
@@ -168,17 +183,17 @@ def candidates(sets: DataFrame, t=THRESHOLD) -> DataFrame:
     index = _keys(fresh, "index", t).withColumn("most", most).filter(F.col("most") >= size).withColumn("band", F.explode(F.sequence(_band(size), _band(F.col("most")))))
     probe = _keys(fresh, "probe", t).withColumn("band", _band(size))
     # The copies of a set that several tasks marked as fresh meet under their gram and become one row.
-    row = ["id", F.shiftleft(size, 32).bitwiseOR(pos.cast("long")).alias("at"), "s1", "s2", F.xxhash64("gram", "band").alias("gram")]
+    row = ["id", F.shiftleft(size, 32).bitwiseOR(pos.cast("long")).alias("at"), "sig", F.xxhash64("gram", "band").alias("gram")]
     side = lambda keys: keys.select(*row).repartition(n, "gram").distinct()
-    unpack = lambda d, one, m, i, s1, s2: d.select("gram", F.col("id").alias(one), F.shiftright("at", 32).alias(m), F.col("at").bitwiseAND(0x7FFFFFFF).alias(i), F.col("s1").alias(s1), F.col("s2").alias(s2))
-    x, y = unpack(side(probe), "a", "m", "i", "a1", "a2"), unpack(side(index), "b", "k", "j", "b1", "b2")
+    unpack = lambda d, one, m, i, sig: d.select("gram", F.col("id").alias(one), F.shiftright("at", 32).alias(m), F.col("at").bitwiseAND(0x7FFFFFFF).alias(i), F.col("sig").alias(sig))
+    x, y = unpack(side(probe), "a", "m", "i", "sa"), unpack(side(index), "b", "k", "j", "sb")
     both = F.col("m") + F.col("k")
     # In integers: (t0 + t1) * shared >= t0 * (m + k).
     scale, want = t[0] + t[1], both * t[0]
     length = F.col("k") * t[1] >= F.col("m") * t[0]
     larger = (F.col("m") > F.col("k")) | ((F.col("m") == F.col("k")) & (F.col("a") > F.col("b")))
     positional = F.least(F.col("m") - F.col("i"), F.col("k") - F.col("j")) * scale >= want
-    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    differ = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
     suffix = (both - differ) * scale >= want * 2
     pairs = x.join(y, "gram").filter(length & positional & suffix & larger)
     return pairs.select("a", "b").distinct()
@@ -231,9 +246,9 @@ def record_pairs(sets: DataFrame, t=THRESHOLD) -> DataFrame:
     many = who.groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rid").alias("a"), F.col("rid").alias("b"))
     links = pairs.unionByName(many)
     left = links.join(who.select(F.col("rid").alias("a"), "field", F.col("key").alias("p")), "a")
-    both = left.join(who.select(F.col("rid").alias("b"), F.col("key").alias("q")), "b")
-    # within a class each pair comes in both orders
-    both = both.filter((F.col("p") != F.col("q")) & ((F.col("a") != F.col("b")) | (F.col("p") < F.col("q"))))
+    # within a class only the pairs in one order meet
+    right = who.select(F.col("rid").alias("r"), F.col("key").alias("q"))
+    both = left.join(right, (F.col("b") == F.col("r")) & ((F.col("p") < F.col("q")) | ((F.col("a") != F.col("b")) & (F.col("p") != F.col("q")))))
     return both.select("field", F.least("p", "q").alias("key_a"), F.greatest("p", "q").alias("key_b")).distinct()
 
 

@@ -176,20 +176,28 @@ def levenshtein(a, b):
 
 
 def test_segments_meet_within_distance():
+    """Whatever ``distance`` takes for a spelling is looked up, swaps over borders of segments included."""
     rng = random.Random(5)
-    for _ in range(4000):
+    met = 0
+    for _ in range(6000):
         a = "".join(rng.choice("abc") for _ in range(rng.randint(3, 12)))
         b = list(a)
         for _ in range(rng.randint(0, 2)):
             i = rng.randrange(len(b) + 1)
-            edit = rng.choice("irs")
+            edit = rng.choice("irst")
             if edit == "i":
                 b.insert(i, rng.choice("abc"))
+            elif edit == "t":
+                b[i : i + 2] = b[i : i + 2][::-1]
             elif b and i < len(b):
                 b[i : i + 1] = [] if edit == "r" else [rng.choice("abc")]
         b = "".join(b)
-        if b and levenshtein(a, b) <= 2:
+        k = names.edits(len(a))
+        if b and names.distance(b, a, k) <= k:
+            met += 1
             assert set(names.indexed(a)) & names.looked_up(b), (a, b)
+    assert met > 3000
+    assert set(names.indexed("hoffmann")) & names.looked_up("hfofmaxn")
 
 
 def test_distance():
@@ -262,10 +270,10 @@ def brute_pairs(rows):
     return {(f, a, b) for i, (f, a) in enumerate(keys) for g, b in keys[i + 1 :] if f == g and 5 * len(sets[f, a] & sets[g, b]) >= 4 * len(sets[f, a] | sets[g, b])}
 
 
-@pytest.mark.parametrize("hot", [1, 8, 4000])
+@pytest.mark.parametrize("hot", [0.05, 0.4, 200])
 def test_near_duplicates(spark, monkeypatch, hot):
     monkeypatch.setattr(neardup, "HOT", hot)
-    rows = near_texts(hot)
+    rows = near_texts(int(hot * 20))
     df = spark.createDataFrame(rows, "field string, key string, text string").withColumn("size", F.lit("clash")).repartition(4)
     sets = neardup.word_sets(df)
     got = [tuple(r) for r in neardup.record_pairs(sets).collect()]
@@ -281,6 +289,19 @@ def test_near_duplicates(spark, monkeypatch, hot):
         assert own[f, a]["group_id"] == own[f, b]["group_id"]
 
 
+def test_near_duplicates_among_long_texts(spark):
+    """Sets of a thousand words, where few words are rare."""
+    rng = random.Random(9)
+    vocabulary = [f"word{i}" for i in range(1500)]
+    rows = []
+    for i in range(12):
+        base = rng.sample(vocabulary, 1000)
+        rows += [("f", f"{i}-{j}", " ".join(base[: 1000 - 40 * j] + [f"new{i}x{x}" for x in range(40 * j)])) for j in range(5)]
+    sets = neardup.word_sets(spark.createDataFrame(rows, "field string, key string, text string"))
+    want = brute_pairs(rows)
+    assert want and {tuple(r) for r in neardup.record_pairs(sets).collect()} == want
+
+
 def test_null_keys(spark):
     text = "one two three four five"
     rows = [(None, "a", text), (None, "b", text), ("f", None, text), ("f", "b", text), ("f", "b", text)]
