@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -63,6 +64,7 @@ for _full, _short in SHORT.items():
 NO_NAME = re.compile(r"^(?:anonymous|anon|unknown|none|n n|nn|et al|na|n a|various|author)?$")
 
 
+@lru_cache(1 << 14)
 def fold(text: str, sounds: bool = False) -> str:
     """Latin letters in lower case without marks; look-alikes of other alphabets become Latin."""
     text = unicodedata.normalize("NFKC", text)
@@ -86,6 +88,7 @@ def _tokens(part: str) -> list[str]:
     return out
 
 
+@lru_cache(1 << 12)
 def readings(name: str | None) -> list[tuple[str, list[str]]]:
     """Ways to read a typed name as (family name, given names); the family name is bare letters.
 
@@ -132,6 +135,7 @@ def is_group(preferred: str) -> bool:
     return "," not in preferred
 
 
+@lru_cache(1 << 14)
 def group_forms(preferred: str) -> list[tuple[str, int]]:
     """Spellings of a group's name with their cost: whole, turned round, abbreviated."""
     words = [w for w in re.findall("[a-z]+", fold(preferred)) if w != "the"]
@@ -146,6 +150,7 @@ def group_forms(preferred: str) -> list[tuple[str, int]]:
     return list(forms.items())
 
 
+@lru_cache(1 << 14)
 def acronym(preferred: str) -> str:
     return "".join(w[0] for w in re.findall("[a-z]+", fold(preferred)) if w not in ("the", "of", "and", "for"))
 
@@ -177,6 +182,7 @@ def typed_forms(name: str | None) -> list[str]:
     return sorted(f for f in forms if len(f) >= 3)
 
 
+@lru_cache(1 << 12)
 def whole_form(name: str) -> str:
     return "".join(w for w in re.findall("[a-z]+", fold(name)) if w != "the")
 
@@ -301,6 +307,14 @@ def given_cost(typed: list[str], known: list[str]) -> int | None:
     return cost + 2 * max(0, len(middle) - len(rest))
 
 
+@lru_cache(1 << 14)
+def person(preferred: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """Forms of the family name with their cost, and the given names."""
+    family, given = preferred.split(",", 1)
+    usual = fold(family).split()
+    return [(compact(words), 0 if i == 0 or words == usual else 1) for i, words in enumerate(family_words(family))], re.findall("[a-z]+", fold(given))
+
+
 def suits(name: str, preferred: str, k: int = DISTANCE) -> int | None:
     """Cost of reading ``name`` as a spelling of ``preferred``; None if it is none. An edit costs 10."""
     if is_group(preferred):
@@ -309,13 +323,9 @@ def suits(name: str, preferred: str, k: int = DISTANCE) -> int | None:
         if whole == acronym(preferred) and len(whole) >= 3 and not re.search("[a-z]", name):
             costs.append(5)
         return min(costs, default=None)
-    family, given = preferred.split(",", 1)
-    known = [w for w in re.findall("[a-z]+", fold(given))]
+    forms, known = person(preferred)
     if not known:
         return None
-    forms = []
-    for i, words in enumerate(family_words(family)):
-        forms.append((compact(words), 0 if i == 0 or words == fold(family).split() else 1))
     best = None
     for typed, names in readings(name):
         g = None
@@ -350,9 +360,12 @@ def _index_rows(batches):
 
 
 def _verify(batches):
+    """The cost of each pair that meets; most of the repeats of a pair stand near each other and are scored once."""
     for b in batches:
-        cost = [suits(n, p) for n, p in zip(b.column("name").to_pylist(), b.column("preferred").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("name"), b.column("id"), pa.array(cost, pa.int32())], names=["name", "id", "cost"])
+        pairs = list(dict.fromkeys(zip(*(b.column(c).to_pylist() for c in ("name", "id", "preferred")))))
+        scored = [(n, i, c) for n, i, p in pairs if (c := suits(n, p)) is not None and c <= MOST]
+        names, ids, cost = zip(*scored) if scored else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ids, pa.string()), pa.array(cost, pa.int32())], names=["name", "id", "cost"])
 
 
 def link_names(typed: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -369,8 +382,7 @@ def link_names(typed: DataFrame, dictionary: DataFrame) -> DataFrame:
     else:
         salted = probes.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int"))
         met = salted.join(index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["segment", "salt"])
-    met = met.select("name", "id", "preferred").repartition(n, "name", "id", "preferred").distinct()
-    scored = met.mapInArrow(_verify, "name string, id string, cost int").filter(F.col("cost") <= MOST)
+    scored = met.select("name", "id", "preferred").mapInArrow(_verify, "name string, id string, cost int")
     per = scored.groupBy("name", "id").agg(F.min("cost").alias("cost"))
     # the least cost, and how many have it, without gathering a name's candidates
     least = per.groupBy("name").agg(F.min("cost").alias("cost"))
