@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mathquarry.functions import formula, ids, review, text
 from mathquarry.models import ml
 from mathquarry.operators import authors, coo, counts, evaluation, orphans, phrase, weighting
+from mathquarry.plans import formula_sql
 from mathquarry.plans.registry import query
 from mathquarry.session import distinct_records, materialize, table
 from mathquarry.sources import io
@@ -141,39 +142,80 @@ def mixed_tokens_plaintext(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("token").agg(F.count("*").alias("n"))
 
 
+def _mixed_sql(method: str, basis: str = "thms") -> str:
+    """mixed (document, paragraph_id, token): words of the passages and features of the cited formulas."""
+    start = {"thms": THMS, "pars": PARS}[basis]
+    parts = f"""{start} parts AS (SELECT document, paragraph_id, unnest(string_split_regex(text, '<fid ([^>]+)>')) AS text FROM {basis}),
+words AS (SELECT document, paragraph_id, 't:' || lower(unnest({WORDS})) AS token FROM parts)"""
+    if method == "plaintext":
+        return f"WITH {parts}, mixed AS (SELECT * FROM words) "
+    return f"""WITH {parts}, {formula_sql.features_sql(method)},
+cites AS (SELECT document, paragraph_id, unnest(regexp_extract_all(text, '<fid ([^>]+)>', 1)) AS formula_id FROM {basis}),
+mixed AS (SELECT * FROM words UNION ALL SELECT document, paragraph_id, token FROM cites JOIN rec_features USING (document, formula_id)) """
+
+
+MIXED_COUNTS = "SELECT token, count(*) AS n, count(DISTINCT document) AS n_documents FROM mixed GROUP BY token"
+
+
 def _mixed(spark, d, method):
     return counts.mixed_rows(_thms(spark, d), table(spark, d, "formula"), method).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("document").alias("n_documents"))
 
 
-@query()
+@query(_mixed_sql("kristianto") + MIXED_COUNTS)
 def mixed_tokens_kristianto(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d, "kristianto")
 
 
-@query()
+@query(_mixed_sql("lin") + MIXED_COUNTS)
 def mixed_tokens_lin(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d, "lin")
 
 
+@query(_mixed_sql("lin") + "SELECT document, paragraph_id, token, count(*) AS n FROM mixed GROUP BY ALL")
+def mixed_paragraph_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of words and formula features by paragraph."""
+    return counts.item_counts(counts.mixed_rows(_thms(spark, d), table(spark, d, "formula"), "lin"), "paragraphs")
+
+
+FEATURE_COUNTS = "SELECT token, count(*) AS n, count(DISTINCT document) AS n_documents FROM rec_features GROUP BY token"
+
+
 def _features(spark, d, method):
     return counts.formula_feature_counts(table(spark, d, "formula"), method).groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("n_documents"))
 
 
-@query()
+@query(f"WITH {formula_sql.features_sql('kristianto')} {FEATURE_COUNTS}")
 def formula_kristianto(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d, "kristianto")
 
 
-@query()
+@query(f"WITH {formula_sql.features_sql('lin')} {FEATURE_COUNTS}")
 def formula_lin(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d, "lin")
 
 
-@query()
+@query(f"WITH {formula_sql.features_sql('content')} {FEATURE_COUNTS}")
 def formula_content(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d, "content")
 
 
+@query(f"WITH {formula_sql.features_sql('content')} SELECT document, token, count(*) AS n FROM rec_features WHERE contains(lower(formula_id), 'thm') AND NOT starts_with(token, 'num') GROUP BY ALL")
+def theorem_formula_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of formulas in theorems, without numbers."""
+    return counts.formula_feature_counts(table(spark, d, "formula"), "content", only_theorems=True, ignore_numbers=True)
+
+
+@query(f"""WITH {formula_sql.CONTENT}, {formula_sql.RECORDS}, a AS (SELECT document, token, count(*) AS n FROM rec_features WHERE starts_with(token, 'opr') GROUP BY ALL),
+b AS (SELECT document, token, count(*) AS n FROM rec_features WHERE NOT starts_with(token, 'opr') GROUP BY ALL), both_ AS (SELECT DISTINCT document FROM a WHERE document IN (SELECT document FROM b))
+SELECT document, token, n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE document IN (SELECT document FROM both_)""")
+def merged_features(spark: SparkSession, d: str) -> DataFrame:
+    """Two feature tables of the same documents in one: operators, and identifiers with numbers."""
+    every = counts.formula_feature_counts(table(spark, d, "formula"), "content")
+    ops, others = every.filter("token like 'opr:%'"), every.filter("token not like 'opr:%'")
+    docs = ops.select("document").intersect(others.select("document"))
+    return counts.merge_features(ops.join(docs, "document", "left_semi"), others.join(docs, "document", "left_semi"))
+
+
 @query(r"""WITH thms AS (SELECT DISTINCT document, paragraph_id, text FROM theorem),
 refs AS (SELECT document, paragraph_id, unnest(regexp_extract_all(text, '<fid ([^>]+)>', 1)) AS formula_id FROM thms)
 SELECT r.document, r.paragraph_id, r.formula_id, count(*) AS n FROM refs r JOIN (SELECT DISTINCT document, formula_id FROM formula) f USING (document, formula_id) GROUP BY ALL""")
@@ -184,7 +226,7 @@ def cited_formulas(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("document", "paragraph_id", F.col("p.value").alias("formula_id")).join(known, ["document", "formula_id"]).groupBy("document", "paragraph_id", "formula_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_mixed_sql("content") + "SELECT document, paragraph_id, token, count(*) AS n FROM cites JOIN rec_features USING (document, formula_id) GROUP BY ALL")
 def cited_formula_features(spark: SparkSession, d: str) -> DataFrame:
     return counts.cited_formula_counts(_thms(spark, d), table(spark, d, "formula"))
 
