@@ -9,12 +9,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.clustering import LDA, GaussianMixture, KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,17 +74,38 @@ def svd(vectors: DataFrame, rank: int) -> tuple[DataFrame, list[float]]:
     from pyspark.mllib.util import MLUtils
 
     rows = MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features").cache()
+    width = vectors.first()["features"].size
+    if width * rank * 4 > MOST_BYTES:
+        raise ValueError(f"a projection of {width} columns to {rank} dimensions is larger than {MOST_BYTES} bytes")
     result = RowMatrix(rows).computeSVD(rank, computeU=False)
     rows.unpersist()
-    v = result.V.toArray()  # columns x rank: fixed by the vocabulary and the rank, not by the rows
-    return project(vectors, v), [float(s) for s in result.s]
+    return project(vectors, result.V.toArray()), [float(s) for s in result.s]
+
+
+#: Most bytes of a projection that are sent to the executors.
+MOST_BYTES = 1 << 29
 
 
 def project(vectors: DataFrame, v: np.ndarray) -> DataFrame:
-    """(row_id, features): rows times the matrix ``v``."""
+    """(row_id, features): rows times the matrix ``v``, in Arrow batches; fails if ``v`` is larger than MOST_BYTES (single precision)."""
+    v = np.ascontiguousarray(v, dtype=np.float32)
+    if v.nbytes > MOST_BYTES:
+        raise ValueError(f"a projection of {v.shape[0]} columns to {v.shape[1]} dimensions takes {v.nbytes} bytes; select columns or dimensions first")
     shared = vectors.sparkSession.sparkContext.broadcast(v)
-    times = F.udf(lambda x: Vectors.dense(x.toArray() @ shared.value if not hasattr(x, "indices") else x.values @ shared.value[x.indices]), VectorUDT())
-    return vectors.select("row_id", times("features").alias("features"))
+
+    def run(batches):
+        table = shared.value
+        for b in batches:
+            x = b.column("x").combine_chunks() if hasattr(b.column("x"), "combine_chunks") else b.column("x")
+            indices, values = x.field("indices").to_pylist(), x.field("values").to_pylist()
+            rows = [np.asarray(w) @ table[: len(w)] if i is None else np.asarray(w) @ table[np.asarray(i, dtype=np.int64)] for i, w in zip(indices, values)]
+            flat = np.concatenate(rows) if rows else np.zeros(0)
+            offsets = np.arange(len(rows) + 1, dtype=np.int32) * table.shape[1]
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float64()))], names=["row_id", "y"])
+
+    kind = vectors.schema["row_id"].dataType.simpleString()
+    dense = vectors.select("row_id", F.unwrap_udt("features").alias("x")).mapInArrow(run, f"row_id {kind}, y array<double>")
+    return dense.select("row_id", array_to_vector("y").alias("features"))
 
 
 @dataclass

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mathquarry.operators import coo
+from mathquarry.session import bounded
 
 # The two-character classes of the subject classification, in their order.
 MSC_CLASSES = (
@@ -80,11 +81,12 @@ def author_items(rows: DataFrame, authorship: DataFrame, max_rank: int = 2) -> D
     return rows.select("row_id", "document").join(a, "document").select("author", "row_id").distinct().withColumn("value", F.lit(1.0))
 
 
-def author_item_maps(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items of each author, and authors of each item, as sorted arrays."""
+def author_item_maps(pairs: DataFrame, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Items of each author, and authors of each item, as sorted arrays; fails on one with more than ``most``, for which the pairs themselves serve."""
+    pairs = pairs.select("author", "row_id").distinct()
     return (
-        pairs.groupBy("author").agg(F.array_sort(F.collect_set("row_id")).alias("items")),
-        pairs.groupBy("row_id").agg(F.array_sort(F.collect_set("author")).alias("authors")),
+        bounded(pairs, "author", most).groupBy("author").agg(F.array_sort(F.collect_list("row_id")).alias("items")),
+        bounded(pairs, "row_id", most).groupBy("row_id").agg(F.array_sort(F.collect_list("author")).alias("authors")),
     )
 
 

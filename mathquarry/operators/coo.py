@@ -7,6 +7,7 @@ ids beside the matrix.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -128,11 +129,15 @@ def token_weights(matrix: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def to_vectors(matrix: DataFrame, width: int) -> DataFrame:
-    """(row_id, features): sparse vectors for models."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """(row_id, features): sparse vectors for models, made in Arrow batches; a row's cells fit in memory, being a vector."""
+    from pyspark.ml.linalg import VectorUDT
 
-    make = F.udf(lambda cells: SparseVector(width, [(c.col, c.value) for c in cells]), VectorUDT())
-    return matrix.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells")).select("row_id", make("cells").alias("features"))
+    @F.pandas_udf(VectorUDT())
+    def make(cols: pd.Series, values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"type": 0, "size": width, "indices": cols, "values": values})  # how a sparse vector is stored
+
+    cells = matrix.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"))
+    return cells.select("row_id", make(F.col("cells.col"), F.col("cells.value")).alias("features"))
 
 
 def from_vectors(vectors: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mathquarry.functions import formula, text
 from mathquarry.functions.text import identity
-from mathquarry.session import distinct_records
+from mathquarry.session import bounded, distinct_records, materialize
 
 KEY = ["document", "paragraph_id"]
 
@@ -70,10 +70,38 @@ def item_counts(rows: DataFrame, granularity: str = "documents", mode: str = "tf
     return rows.groupBy(*keys, "token").agg(n.alias("n"))
 
 
-def document_token_list(paragraphs: DataFrame, lemmatize=identity) -> DataFrame:
-    """(document, tokens): the words of all paragraphs of a document, in the order of the paragraph ids."""
+def document_tokens(paragraphs: DataFrame, lemmatize=identity) -> DataFrame:
+    """(document, paragraph_id, at, tokens): the token list of each document in pieces, a paragraph's words and the place of the first in the list.
+
+    Paragraphs follow in the order of their ids, those of one id in the order of their words.
+    However long a document is, no task holds more of its list than a part of the rows: places are
+    sums over range parts of the rows, added up like the numbers of a dense index.
+    """
     per = paragraphs.select("document", "paragraph_id", text.word_tokens(F.col("text"), "", lemmatize).alias("tokens"))
-    return per.groupBy("document").agg(F.flatten(F.array_sort(F.collect_list(F.struct("paragraph_id", "tokens"))).getField("tokens")).alias("tokens"))
+    return running_total(per, "document", ["paragraph_id", "tokens"], F.size("tokens"), "at")
+
+
+def running_total(df: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of the same key before each row.
+
+    Rows are range-partitioned by key and order, so a hot key is spread; sums of the parts before
+    are one number for each key and part.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(df.withColumn("_v", value.cast("long")).repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    within = W.partitionBy("_part", key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    parts = placed.groupBy(key, "_part").agg(F.sum("_v").alias("_s"))
+    before = parts.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    running = placed.withColumn("_own", F.coalesce(F.sum("_v").over(within), F.lit(0)))
+    joined = running.join(before, running[key].eqNullSafe(before["_k"]) & (running["_part"] == before["_p"]))
+    return joined.select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
+def document_token_list(paragraphs: DataFrame, lemmatize=identity, most: int = 100_000) -> DataFrame:
+    """(document, tokens): the list in one row, for documents of at most ``most`` paragraphs; fails on a larger one, for which ``document_tokens`` is."""
+    per = paragraphs.select("document", "paragraph_id", text.word_tokens(F.col("text"), "", lemmatize).alias("tokens"))
+    checked = bounded(per, "document", most)
+    return checked.groupBy("document").agg(F.flatten(F.array_sort(F.collect_list(F.struct("paragraph_id", "tokens"))).getField("tokens")).alias("tokens"))
 
 
 def theorem_word_counts(paragraphs: DataFrame) -> DataFrame:
@@ -122,6 +150,12 @@ def merge_features(first: DataFrame, second: DataFrame) -> DataFrame:
     return checked.filter(fine.isNull()).select("document", "token", "n")
 
 
+def mentions(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(token, n): how often the words of a list (token) occur among ``rows`` (token)."""
+    counted = rows.groupBy("token").agg(F.count("*").alias("n"))
+    return counted.join(names.select("token").distinct(), "token", "left_semi")
+
+
 def top_n_per_key(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     """The first ``n`` rows of each key, with ``place`` from 1."""
     return df.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("place") <= n)

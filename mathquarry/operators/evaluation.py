@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mathquarry.session import bounded
+
 
 def overlap(clusters: DataFrame, categories: DataFrame) -> DataFrame:
     """(cluster, category, n_common, jaccard, share_of_cluster, share_of_category) for every cluster and category.
@@ -35,9 +37,14 @@ def cluster_shares(clusters: DataFrame) -> DataFrame:
     return sizes.select("cluster", "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 4).alias("share"))
 
 
-def group_sets(members: DataFrame, group: str, member: str = "doc_id") -> DataFrame:
-    """(group, members): the sorted set of each group's members."""
-    return members.groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("members"))
+def group_members(members: DataFrame, group: str, member: str = "doc_id") -> DataFrame:
+    """(group, member): each group's members once, in rows, however large the group is."""
+    return members.select(group, member).distinct()
+
+
+def group_sets(members: DataFrame, group: str, member: str = "doc_id", most: int = 100_000) -> DataFrame:
+    """(group, members): the sorted set of each group's members; fails on a group of more than ``most``, for which ``group_members`` is."""
+    return bounded(group_members(members, group, member), group, most).groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("members"))
 
 
 def percent(part, total):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mathquarry.operators import coo
@@ -35,11 +34,10 @@ def top_tokens(scores: DataFrame, vocab: DataFrame, text_limit: int | None, form
     """
     named = scores.join(vocab.select(F.col("idx").alias("col"), "token"), "col").withColumn("kind", F.when(F.col("token").startswith("t:"), "text").otherwise("formula"))
     named = named.withColumn("score", F.round("score", 6))
-    if text_limit is None and formula_limit is None:
-        return named
-    place = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("score"), "col"))
-    limit = F.when(F.col("kind") == "text", F.lit(text_limit)).otherwise(F.lit(formula_limit))
-    return named.withColumn("place", place).filter(limit.isNull() | (F.col("place") <= limit)).drop("place")
+    kinds = [named.filter(F.col("kind") == kind) for kind in ("text", "formula")]
+    # each partition keeps its own best first, so no task sees a whole vocabulary
+    best = [k if n is None else k.orderBy(F.desc("score"), "col").limit(n) for k, n in zip(kinds, (text_limit, formula_limit))]
+    return best[0].unionByName(best[1])
 
 
 def balance(text: DataFrame, formula: DataFrame, rows: DataFrame) -> DataFrame:
@@ -60,8 +58,8 @@ class Processed:
 def raw_matrix(counts: DataFrame, items: DataFrame, keys: list[str], min_count: int) -> Processed:
     """Numbered rows for ``items`` (keys), a vocabulary of tokens with ``min_count`` occurrences, and the counts as a matrix."""
     counts = materialize(counts, "counts")  # texts are tokenised once, whatever is made of them
-    vocab = materialize(coo.vocabulary(counts, least=min_count, count="n"), "vocabulary")
-    rows = materialize(number_items(items.select(*keys).distinct(), keys), "rows")
+    vocab = coo.vocabulary(counts, least=min_count, count="n")
+    rows = number_items(items.select(*keys).distinct(), keys)
     named = counts.join(rows, keys).select("row_id", "token", F.col("n").alias("value"))
     return Processed(materialize(coo.build(named, vocab), "matrix"), vocab, rows)
 
@@ -81,9 +79,9 @@ def processed_matrix(raw: Processed, text_limit: int | None = None, formula_limi
     kept = materialize(coo.nonzero_rows(raw.matrix), "rows")
     matrix = coo.select_rows(raw.matrix, kept)
     weights = tf_idf(matrix, kept.agg(F.count("*").alias("n")))
-    best = top_tokens(column_sums(weights), raw.vocab, text_limit, formula_limit).select("col", "token", "kind")
+    best = materialize(top_tokens(column_sums(weights), raw.vocab, text_limit, formula_limit).select("col", "token", "kind"), "best")
     order = best.withColumn("_key", F.concat(F.when(F.col("kind") == "text", "0").otherwise("1"), "token"))
-    numbered = materialize(coo.dense_index(order, "_key", "new_col").select("col", "new_col", "token", "kind"), "columns")
+    numbered = coo.dense_index(order, "_key", "new_col").select("col", "new_col", "token", "kind")
     cells = materialize(matrix.join(numbered, "col").select("row_id", F.col("new_col").alias("col"), "value", "kind"), "cells")
     text = cells.filter("kind = 'text'").drop("kind")
     formula = cells.filter("kind = 'formula'").drop("kind")

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mathquarry.functions import formula, ids, review, text
+from mathquarry.config import Setting
+from mathquarry.functions import ids, review, text
 from mathquarry.models import ml
 from mathquarry.operators import authors, coo, counts, evaluation, orphans, phrase, weighting
 from mathquarry.plans import formula_sql
 from mathquarry.plans.registry import query
-from mathquarry.session import distinct_records, materialize, table
-from mathquarry.sources import io
+from mathquarry.session import distinct_records, materialize, scratch_path, table
+from mathquarry.sources import articles, io
 
 # ------------------------------------------------------------------ references to records that do not exist
 
@@ -110,14 +111,56 @@ def vocab_index(spark: SparkSession, d: str) -> DataFrame:
     return coo.vocabulary(counts.word_rows(_pars(spark, d)), least=3)
 
 
-@query(f"""WITH {PARS} rows AS (SELECT document, paragraph_id, [lower(x) for x in {WORDS}] AS tokens FROM pars)
-SELECT document, md5(array_to_string(flatten(list(tokens ORDER BY paragraph_id, tokens)), ' ')) AS tokens_md5, CAST(sum(len(tokens)) AS BIGINT) AS n_tokens FROM rows WHERE text_ok GROUP BY document""".replace("AS tokens FROM pars", "AS tokens, text IS NOT NULL AS text_ok FROM pars"))
+@query(f"""WITH {PARS} rows AS (SELECT document, paragraph_id, [lower(x) for x in {WORDS}] AS tokens FROM pars WHERE text IS NOT NULL)
+SELECT document, paragraph_id, md5(array_to_string(tokens, ' ')) AS tokens_md5, CAST(len(tokens) AS BIGINT) AS n_tokens,
+  CAST(coalesce(sum(len(tokens)) OVER (PARTITION BY document ORDER BY paragraph_id NULLS FIRST, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM rows""")
 def document_token_lists(spark: SparkSession, d: str) -> DataFrame:
-    """The words of each document in order, as a digest."""
-    lists = counts.document_token_list(_pars(spark, d).filter("text is not null"))
+    """The words of each document in order: a digest of each paragraph's and its place in the document's list."""
+    pieces = counts.document_tokens(_pars(spark, d).filter("text is not null"))
+    return pieces.select("document", "paragraph_id", F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"), F.size("tokens").cast("long").alias("n_tokens"), "at")
+
+
+@query(f"""WITH {THMS} rows AS (SELECT document, paragraph_id, [lower(x) for x in {WORDS}] AS tokens FROM thms WHERE text IS NOT NULL)
+SELECT document, md5(array_to_string(flatten(list(tokens ORDER BY paragraph_id NULLS FIRST, tokens)), ' ')) AS tokens_md5, CAST(sum(len(tokens)) AS BIGINT) AS n_tokens FROM rows GROUP BY document""")
+def theorem_token_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each document's theorems as one list, as a digest; fails on a document of more paragraphs than a list takes."""
+    lists = counts.document_token_list(_thms(spark, d).filter("text is not null"))
     return lists.select("document", F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"), F.size("tokens").cast("long").alias("n_tokens"))
 
 
+@query(f"""WITH {THMS} parts AS (SELECT document, unnest(string_split_regex(text, '<fid ([^>]+)>')) AS text FROM thms WHERE contains(paragraph_id, 'thm')), rows AS (SELECT document, lower(unnest({WORDS})) AS token FROM parts)
+SELECT document, token, count(*) AS n FROM rows GROUP BY ALL""")
+def theorem_word_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the paragraphs whose id says theorem, references left out."""
+    return counts.theorem_word_counts(_thms(spark, d))
+
+
+SINGULAR = """CASE WHEN length(w) < 4 OR regexp_matches(w, '(ss|us|is)$') THEN w WHEN ends_with(w, 'ies') THEN w[:-4] || 'y' WHEN ends_with(w, 'ches') OR ends_with(w, 'shes') OR ends_with(w, 'xes') OR ends_with(w, 'sses') THEN w[:-3] WHEN ends_with(w, 's') THEN w[:-2] ELSE w END"""
+
+
+@query(PAR_ROWS + f"SELECT token, count(*) AS n_occurrences, count(DISTINCT document) AS n_documents FROM (SELECT document, {SINGULAR} AS token FROM (SELECT document, token AS w FROM rows)) GROUP BY token")
+def lemma_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of words without plural endings, by rule."""
+    return counts.token_counts(counts.word_rows(_pars(spark, d), text.noun_lemmatizer()))
+
+
+@query(r"""WITH t AS (SELECT DISTINCT id, title FROM document WHERE title IS NOT NULL), c AS (SELECT id, title, array_to_string([CASE WHEN ord(x) > 127 THEN '&#' || ord(x) || ';' ELSE x END FOR x IN regexp_extract_all(title, '(?s).')], '') AS e FROM t)
+SELECT id, regexp_replace(e, '[^\x20-\x7E\t\n\r\x0b\x0c]', '', 'g') AS escaped, regexp_replace(title, '[^\x20-\x7E]', '', 'g') AS printable, regexp_replace(title, '[^0-9A-Za-z]', '', 'g') AS bare FROM c""")
+def title_characters(spark: SparkSession, d: str) -> DataFrame:
+    """Titles with other than ASCII characters escaped, without what isn't printable, and without what is no letter or digit."""
+    titles = table(spark, d, "document").filter("title is not null").select("id", "title").distinct()
+    return titles.select("id", text.ascii_escape("title").alias("escaped"), text.printable(F.col("title")).alias("printable"), text.alphanumeric(F.col("title")).alias("bare"))
+
+
+@query(r"""WITH f AS (SELECT DISTINCT document, formula_id, latex FROM formula WHERE latex IS NOT NULL),
+t AS (SELECT document, formula_id, regexp_extract_all(latex, '(?s)\\[A-Za-z]+|\\.|[A-Za-z0-9+\-*/_|\[\]()!<>=^]') AS raw FROM f)
+SELECT document, formula_id, array_to_string(['$' || CASE WHEN length(x) > 1 THEN substr(x, 2) ELSE x END || '$' FOR x IN raw], ' ') AS dump, CAST(len(raw) AS BIGINT) AS n FROM t""")
+def latex_dumps(spark: SparkSession, d: str) -> DataFrame:
+    """Each formula's LaTeX tokens as text again."""
+    f = distinct_records(table(spark, d, "formula").select("document", "formula_id", "latex")).filter("latex is not null").select("document", "formula_id", text.formula_tokens(text.latex_tokens(F.col("latex"))).alias("t"))
+    return f.select("document", "formula_id", text.dump_paragraph(F.array("t")).alias("dump"), F.size("t").cast("long").alias("n"))
+
+
 @query(r"""WITH f AS (SELECT DISTINCT document, formula_id, latex FROM formula),
 t AS (SELECT unnest(regexp_extract_all(latex, '(?s)\\[A-Za-z]+|\\.|[A-Za-z0-9+\-*/_|\[\]()!<>=^]')) AS raw FROM f)
 SELECT '$' || CASE WHEN length(raw) > 1 THEN substr(raw, 2) ELSE raw END || '$' AS token, count(*) AS n FROM t GROUP BY ALL""")
@@ -231,7 +274,13 @@ def cited_formula_features(spark: SparkSession, d: str) -> DataFrame:
     return counts.cited_formula_counts(_thms(spark, d), table(spark, d, "formula"))
 
 
-@query()
+SENTENCES = rf"""WITH {PARS} marked AS (SELECT document, paragraph_id, text, string_split(regexp_replace(coalesce(text, ''), '([.!?])[\s\x0b]+([\p{{Lu}}\p{{N}}<$(\\\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM pars),
+cut AS (SELECT document, paragraph_id, text, [x FOR x IN s IF trim(x) <> ''] AS s FROM marked),
+sents AS (SELECT document, paragraph_id, text, [[CASE WHEN starts_with(t, '<fid ') THEN t ELSE lower(t) END FOR t IN regexp_extract_all(x, '<fid [^>]+>|[\p{{L}}\p{{N}}_]{{2,}}')] FOR x IN s] AS s FROM cut)
+"""
+
+
+@query(SENTENCES + "SELECT document, paragraph_id, CAST(len(s) AS INTEGER) AS n_sentences, CAST(len(flatten(s)) AS INTEGER) AS n_tokens, array_to_string([array_to_string(x, ' ') FOR x IN s], '. ') AS dump FROM sents")
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     """Sentences and tokens of each paragraph, references kept as tokens."""
     s = _pars(spark, d).select("document", "paragraph_id", text.sentence_tokens(F.col("text")).alias("s"))
@@ -250,11 +299,13 @@ def review_normalized_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("WITH names AS (SELECT unnest([" + ", ".join(f"'{m}'" for m in text.MATHEMATICIANS) + f"""]) AS token), rows AS (SELECT lower(unnest({WORDS})) AS token FROM documents)
+@query(f"""WITH names AS (SELECT DISTINCT lower(unnest({WORDS.replace('text', 'preferred_name')})) AS token FROM author_profile), rows AS (SELECT lower(unnest({WORDS.replace('text', 'display_name')})) AS token FROM authorship)
 SELECT token, count(*) AS n FROM rows JOIN names USING (token) GROUP BY token""")
-def mathematician_mentions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.explode(text.word_tokens(F.col("text"))).alias("token"))
-    return rows.filter(F.col("token").isin(text.MATHEMATICIANS)).groupBy("token").agg(F.count("*").alias("n"))
+def name_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Which words of a list of names occur in what was typed, and how often; here the list is that of the profiles."""
+    known = table(spark, d, "author_profile").select(F.explode(text.word_tokens(F.col("preferred_name"))).alias("token")).distinct()
+    rows = table(spark, d, "authorship").select(F.explode(text.word_tokens(F.col("display_name"))).alias("token"))
+    return counts.mentions(rows, known)
 
 
 @query(r"""WITH all_ids AS (SELECT DISTINCT lower(paragraph_id) AS id FROM paragraph2 UNION SELECT DISTINCT lower(paragraph_id) FROM theorem),
@@ -270,7 +321,22 @@ def paragraph_id_types(spark: SparkSession, d: str) -> DataFrame:
     return every.select("id", kind["type"].alias("type"), kind["theorem_type"].alias("theorem_type"))
 
 
-@query()
+def _longest_sql() -> str:
+    """Each rule as a candidate (length of its match, its place, what it finds); the largest wins."""
+    def one(i, name, pattern, groups):
+        got = {g: f"nullif(regexp_extract(id, '{pattern}', {j}), '')" for j, g in enumerate(groups, 1)}
+        fields = ", ".join(f"{f} := {got.get(f, 'NULL::VARCHAR')}" for f in (*ids.PARTS, "abbreviation"))
+        return f"struct_pack(rank := length(regexp_extract(id, '({pattern})', 1)), earlier := {-i}, type := '{name}', {fields})"
+
+    every = ", ".join(one(i, *rule) for i, rule in enumerate(ids.RULES))
+    kinds = " ".join(f"WHEN abbr IN ({', '.join(repr(a) for a in short.split())}) THEN '{name}'" for name, short in ids.THEOREM_TYPES.items())
+    parts = ", ".join(f"CASE WHEN b.rank > 0 THEN {'regexp_replace(b.itemize, chr(92) || chr(46) || chr(105), chr(46))' if f == 'itemize' else 'b.' + f} END AS {f}" for f in ids.PARTS)
+    return f"""WITH all_ids AS (SELECT DISTINCT lower(paragraph_id) AS id FROM paragraph2 UNION SELECT DISTINCT lower(paragraph_id) FROM theorem),
+c AS (SELECT id, list_max([{every}]) AS b FROM all_ids), k AS (SELECT id, b, CASE WHEN b.rank > 0 THEN b.abbreviation END AS abbr FROM c)
+SELECT id, CASE WHEN b.rank > 0 THEN b.type END AS type, {parts}, CASE {kinds} ELSE abbr END AS theorem_type FROM k"""
+
+
+@query(_longest_sql())
 def paragraph_id_longest(spark: SparkSession, d: str) -> DataFrame:
     every = table(spark, d, "paragraph2").select(F.lower("paragraph_id").alias("id")).union(table(spark, d, "theorem").select(F.lower("paragraph_id"))).distinct()
     return every.select("id", F.inline(F.array(ids.parse_paragraph_id(F.col("id"), "longest"))))
@@ -314,7 +380,7 @@ def raw_tdm(spark: SparkSession, d: str) -> DataFrame:
 
 @query(TDM + "SELECT row_id, document FROM items")
 def tdm_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _raw(spark, d).rows
+    return weighting.number_items(_pars(spark, d).select("document").distinct(), ["document"])
 
 
 @query(TDM + "SELECT row_id FROM tdm GROUP BY row_id HAVING sum(value) <> 0")
@@ -368,11 +434,89 @@ def block_balance(spark: SparkSession, d: str) -> DataFrame:
     return weighting.balance(raw.matrix.filter("col % 2 = 0"), raw.matrix.filter("col % 2 = 1"), raw.rows).select("row_id", "col", F.round("value", 6).alias("value"))
 
 
-@query()
+def _weights_sql(method: str, basis: str, keys: tuple[str, ...], limit: int) -> str:
+    """The main path: raw matrix, best tokens of each kind by TF-IDF over the rows that hold something, blocks balanced."""
+    names = ", ".join(keys)
+    order = ", ".join(f"coalesce({k}, '')" for k in keys)
+    return _mixed_sql(method, basis) + f"""
+, cnt AS (SELECT {names}, token, count(*) AS n FROM mixed GROUP BY ALL), vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS col FROM cnt GROUP BY token HAVING sum(n) >= 3),
+items AS (SELECT {names}, row_number() OVER (ORDER BY {order}) - 1 AS row_id FROM (SELECT DISTINCT {names} FROM {basis})),
+tdm AS (SELECT row_id, col, CAST(n AS DOUBLE) AS value FROM cnt JOIN items USING ({names}) JOIN vocab USING (token)), kept AS (SELECT DISTINCT row_id FROM tdm), df AS (SELECT col, count(*) AS df FROM tdm GROUP BY col),
+w0 AS (SELECT row_id, col, value * (ln((1 + (SELECT count(*) FROM kept)) / (1.0::DOUBLE + df)) + 1) AS value FROM tdm JOIN df USING (col)), norms AS (SELECT row_id, sqrt(sum(value * value)) AS norm FROM w0 GROUP BY row_id),
+scores AS (SELECT col, round(sum(value / norm), 6) AS score FROM w0 JOIN norms USING (row_id) GROUP BY col),
+named AS (SELECT col, token, CASE WHEN starts_with(token, 't:') THEN 'text' ELSE 'formula' END AS kind, score FROM scores JOIN vocab USING (col)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, col) AS place FROM named) WHERE place <= {limit}),
+cells AS (SELECT row_id, token, kind, value FROM tdm JOIN best USING (col)), means AS (SELECT kind, sum(norm) / (SELECT count(*) FROM kept) AS mean FROM (SELECT kind, row_id, sqrt(sum(value * value)) AS norm FROM cells GROUP BY kind, row_id) GROUP BY kind)
+"""
+
+
+BALANCED = "SELECT row_id, token, round(CASE WHEN kind = 'formula' THEN value * (SELECT mean FROM means WHERE kind = 'text') / (SELECT mean FROM means WHERE kind = 'formula') ELSE value END, 6) AS value FROM cells"
+
+
+def _processed(raw: weighting.Processed) -> DataFrame:
+    p = weighting.processed_matrix(raw, 10_000, 10_000)
+    return p.matrix.join(p.vocab.select(F.col("idx").alias("col"), "token"), "col").select("row_id", "token", F.round("value", 6).alias("value"))
+
+
+@query(_weights_sql("lin", "thms", ("document",), 10_000) + BALANCED)
 def processed_tdm(spark: SparkSession, d: str) -> DataFrame:
     """The main path over theorems with formula features: empty rows dropped, best tokens, balanced blocks."""
-    p = weighting.processed_matrix(_mixed_raw(spark, d), 10_000, 10_000)
-    return p.matrix.join(p.vocab.select(F.col("idx").alias("col"), "token"), "col").select("row_id", "token", F.round("value", 6).alias("value"))
+    return _processed(_mixed_raw(spark, d))
+
+
+@query(_weights_sql("plaintext", "pars", ("document",), 10_000) + BALANCED)
+def processed_tdm_plaintext(spark: SparkSession, d: str) -> DataFrame:
+    """The main path over the words of full texts."""
+    pars = _pars(spark, d)
+    per = counts.item_counts(counts.mixed_rows(pars, table(spark, d, "formula"), "plaintext"))
+    return _processed(weighting.raw_matrix(per, pars, ["document"], 3))
+
+
+@query(_weights_sql("kristianto", "thms", ("document", "paragraph_id"), 10_000) + BALANCED)
+def processed_tdm_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The main path by paragraph, with paths of formulas."""
+    thms = _thms(spark, d)
+    per = counts.item_counts(counts.mixed_rows(thms, table(spark, d, "formula"), "kristianto"), "paragraphs")
+    return _processed(weighting.raw_matrix(per, thms, ["document", "paragraph_id"], 3))
+
+
+@query(_weights_sql("lin", "thms", ("document",), 200) + "SELECT token, kind, score FROM best")
+def best_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 best tokens of each kind; a report of the top is the feature."""
+    raw = _mixed_raw(spark, d)
+    scores = weighting.column_sums(weighting.tf_idf(raw.matrix, coo.nonzero_rows(raw.matrix).agg(F.count("*").alias("n"))))
+    return weighting.top_tokens(scores, raw.vocab, 200, 200).select("token", "kind", "score")
+
+
+HALVES = TDM.rstrip() + ", h AS (SELECT count(*) AS h FROM items), v AS (SELECT count(*) AS v FROM vocab)\n"
+
+
+@query(HALVES + "SELECT row_id, col, value FROM tdm UNION ALL SELECT row_id + h, col, value * 2 FROM tdm, h")
+def stacked_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix above its double."""
+    raw = _raw(spark, d)
+    height, width = raw.rows.count(), raw.vocab.count()
+    return coo.stack_rows(raw.matrix, coo.scale(raw.matrix, 2.0), height, width, width)
+
+
+@query(HALVES + "SELECT row_id, col, value FROM tdm UNION ALL SELECT row_id, col + v, value / 2 FROM tdm, v")
+def side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix beside its half."""
+    raw = _raw(spark, d)
+    height, width = raw.rows.count(), raw.vocab.count()
+    return coo.append_columns(raw.matrix, coo.scale(raw.matrix, 0.5), width, height, height)
+
+
+@query(TDM + "SELECT row_id, col, value FROM tdm")
+def stored_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """A matrix made once under its setting and read back."""
+    root = scratch_path(spark, "artifacts")
+    make = lambda: _raw(spark, d).matrix
+    io.artifact(spark, root, Setting(), "tdm", make)
+    again = io.artifact(spark, root, Setting(), "tdm", make)  # there already
+    path = scratch_path(spark, "matrix")
+    io.save_matrix(again.select("row_id", "col", "value"), path)
+    return io.load_matrix(spark, path)
 
 
 @query(TDM + "SELECT row_id, list(token ORDER BY token) AS tokens, CAST(sum(value) AS DOUBLE) AS total FROM tdm JOIN vocab USING (col) GROUP BY row_id")
@@ -446,6 +590,25 @@ def author_walk(spark: SparkSession, d: str) -> DataFrame:
     return authors.author_walk(*_walk_input(spark, d)).select("author", F.round("mass", 6).alias("mass"))
 
 
+@query(WALK + """, mine AS (SELECT document, 1.0::DOUBLE / count(*) OVER () AS part FROM p JOIN q USING (author)), bt AS (SELECT topic, sum(part * weight) AS mass FROM mine JOIN topics USING (document) GROUP BY topic),
+k AS (SELECT * FROM topics WHERE document IN (SELECT document FROM p)), tot AS (SELECT topic, sum(weight) AS total FROM k GROUP BY topic),
+sh AS (SELECT document, sum(weight / total * mass) AS mass FROM k JOIN tot USING (topic) JOIN bt USING (topic) GROUP BY document), n AS (SELECT document, count(*) AS n FROM p GROUP BY document)
+SELECT author, round(sum(mass / n), 6) AS mass FROM p JOIN sh USING (document) JOIN n USING (document) GROUP BY author ORDER BY mass DESC, author LIMIT 20""")
+def best_walk_authors(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 authors with most mass; a report of the top is the feature."""
+    return authors.best_authors(authors.author_walk(*_walk_input(spark, d)), "mass")
+
+
+@query(WALK + "SELECT author, list(DISTINCT document ORDER BY document) AS items FROM p GROUP BY author")
+def items_of_authors(spark: SparkSession, d: str) -> DataFrame:
+    return authors.author_item_maps(_walk_input(spark, d)[0])[0]
+
+
+@query(WALK + "SELECT document AS row_id, list(DISTINCT author ORDER BY author) AS authors FROM p GROUP BY document")
+def authors_of_items(spark: SparkSession, d: str) -> DataFrame:
+    return authors.author_item_maps(_walk_input(spark, d)[0])[1]
+
+
 @query(WALK + """, an AS (SELECT author, document, 1 / sqrt(count(*) OVER (PARTITION BY author)) AS v FROM p), tn AS (SELECT document, topic, weight / sqrt(sum(weight * weight) OVER (PARTITION BY document)) AS w FROM topics),
 bt AS (SELECT topic, sum(v * w) AS mass FROM an JOIN q USING (author) JOIN tn USING (document) GROUP BY topic), bi AS (SELECT document, sum(w * mass) AS s FROM tn JOIN bt USING (topic) GROUP BY document)
 SELECT author, round(sum(v * s), 5) AS score FROM an JOIN bi USING (document) GROUP BY author""")
@@ -528,9 +691,19 @@ def chi2_term_set(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.chi2_columns(_chi(spark, d).withColumn("score", F.round("score", 6)), 6.634897)
 
 
-@query()
+@query(CHI + """, x AS (SELECT class, token, score, sqrt(score / 2) AS x FROM chi)
+SELECT class, token AS col, round(score, 5) AS score, round(CASE WHEN score = 0 THEN 1.0::DOUBLE WHEN score > 200 THEN 0.0::DOUBLE ELSE greatest(0.0, 1 - exp(-x * x) * list_sum([exp((2 * n + 1) * ln(x) - lgamma(n + 1.5)) FOR n IN range(0, 500)])) END, 6) AS p FROM x""")
 def chi2_p_values(spark: SparkSession, d: str) -> DataFrame:
-    return _chi(spark, d).select("class", "col", "score", evaluation.chi2_p("score").alias("p"))
+    return _chi(spark, d).select("class", "col", F.round("score", 5).alias("score"), F.round(evaluation.chi2_p("score"), 6).alias("p"))
+
+
+@query(CHI + ", v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM tot) SELECT class, token, round(round(score, 6), 5) AS score FROM chi JOIN v USING (token) WHERE round(score, 6) > 10.827566")
+def chi2_class_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of each class above a threshold, by name."""
+    scores = materialize(_chi(spark, d).withColumn("score", F.round("score", 6)), "chi")
+    vocab = materialize(coo.vocabulary(scores.select("col").distinct(), "col"), "terms")
+    numbered = scores.join(vocab, scores["col"] == vocab["token"]).select("class", F.col("idx").alias("col"), "score")
+    return evaluation.chi2_terms(numbered, vocab, 10.827566).select("class", "token", F.round("score", 5).alias("score"))
 
 
 @query(f"""WITH {PARS} {THMS} x AS (SELECT lower(unnest({WORDS})) AS token FROM pars), y AS (SELECT lower(unnest({WORDS})) AS token FROM thms),
@@ -613,6 +786,91 @@ def class_affinity(spark: SparkSession, d: str) -> DataFrame:
     return coo.multiply(coo.transpose(m), m).select(F.col("row_id").alias("class"), F.col("col").alias("other"), "value")
 
 
+# ------------------------------------------------------------------ files, written and read back
+
+BLANKS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+INGESTED = rf"""WITH p AS (SELECT DISTINCT document, paragraph_id, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS text FROM theorem WHERE document IS NOT NULL AND paragraph_id IS NOT NULL AND text IS NOT NULL),
+t AS (SELECT regexp_replace(document, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g') AS document, paragraph_id, replace(replace(text, E'\r\n', E'\n'), E'\r', E'\n') AS text FROM p) SELECT document, paragraph_id, text FROM t WHERE regexp_matches(text, '[^{BLANKS}]')"""
+
+
+def _article_files(spark, d, name) -> DataFrame:
+    """(path, xml): an article file for each paragraph of a table."""
+    clean = lambda c: F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    escaped = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(clean(c), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    rows = table(spark, d, name).filter("document is not null and paragraph_id is not null and text is not null").select("document", "paragraph_id", "text").distinct()
+    xml = F.concat(
+        F.lit('<doc><included_sources><source>zbmath metadata</source></included_sources><metadata><identifiers><id type="arxiv">'), escaped(F.col("document")), F.lit('</id></identifiers></metadata><content><div id="'), escaped(F.col("paragraph_id")),
+        F.lit('">'), escaped(F.col("text")), F.lit("</div></content></doc>"),
+    )
+    return rows.select(F.concat_ws("|", "document", "paragraph_id").alias("path"), xml.alias("xml"))
+
+
+@query(INGESTED)
+def ingested_theorems(spark: SparkSession, d: str) -> DataFrame:
+    """Theorems written as article XML and parsed again."""
+    tables = articles.to_tables(articles.parse_articles(_article_files(spark, d, "theorem")))
+    return tables["theorem"].select("document", "paragraph_id", "text").unionByName(tables["paragraph2"])
+
+
+@query("SELECT DISTINCT document, paragraph_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM theorem WHERE document IS NOT NULL AND paragraph_id IS NOT NULL AND regexp_matches(text, '[!-~]')")
+def appended_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed articles appended to the stored tables and read back from there."""
+    path = scratch_path(spark, "tables")
+    rows = table(spark, d, "theorem").filter("document is not null and paragraph_id is not null").select("document", "paragraph_id", F.lit(None).cast("string").alias("theorem_type"), text.printable(F.col("text")).alias("text"))
+    io.append_tables({"theorem": rows.filter("text rlike '[!-~]'").distinct()}, path)
+    return io.read_table(spark, "theorem", path).select("document", "paragraph_id", "text")
+
+
+def _corpus(spark, d) -> DataFrame:
+    """(id, classes, data, included_sources) of the articles' words."""
+    raw = _raw(spark, d)
+    cells = raw.matrix.join(raw.rows, "row_id").groupBy(F.col("document").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("data"))
+    codes = table(spark, d, "msc_assignment").filter("msc is not null").groupBy(F.col("document").alias("id")).agg(F.array_sort(F.collect_set("msc")).alias("classes"))
+    return cells.join(codes, "id", "left").select("id", F.coalesce("classes", F.array().cast("array<string>")).alias("classes"), "data")
+
+
+@query(TDM + "SELECT document AS id, col, value FROM tdm JOIN items USING (row_id)")
+def arff_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix of a corpus written as ARFF-JSON and read back."""
+    path = scratch_path(spark, "arff")
+    io.write_arff_json(_corpus(spark, d), path, "words", 1)
+    return io.corpus_matrix(io.read_arff_json(spark, path))
+
+
+@query(TDM + ", c AS (SELECT document, list_sort(list(DISTINCT msc)) AS classes FROM msc_assignment WHERE msc IS NOT NULL GROUP BY document) SELECT DISTINCT document AS id, coalesce(classes, []) AS classes, 'sparse' AS storage FROM tdm JOIN items USING (row_id) LEFT JOIN c USING (document)")
+def arff_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of a corpus written as ARFF-JSON and read back."""
+    path = scratch_path(spark, "arff")
+    io.write_arff_json(_corpus(spark, d), path, "words", 1)
+    return io.read_arff_json(spark, path).select("id", "classes", "storage")
+
+
+@query("SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc_id, ascii(trim(msc)) AS cluster FROM documents WHERE trim(msc) <> ''")
+def cluster_file(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters written as lines and read back; here a document's cluster is the first digit of its class."""
+    path = scratch_path(spark, "clusters")
+    io.write_clusters(table(spark, d, "documents").filter("trim(msc) <> ''").select(F.col("doc_id").cast("string").alias("doc_id"), F.ascii(F.trim("msc")).alias("cluster")).distinct(), path)
+    return io.read_clusters(spark, path)
+
+
+@query(CHI + ", v AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx FROM tot), r AS (SELECT class, idx, round(score, 6) AS score, row_number() OVER (PARTITION BY class ORDER BY round(score, 6) DESC, idx) AS place FROM chi JOIN v USING (token)) SELECT class, idx, score FROM r WHERE place <= 1000")
+def chi_files(spark: SparkSession, d: str) -> DataFrame:
+    """The 1,000 best terms of each class written as files and read back."""
+    scores = materialize(_chi(spark, d).withColumn("score", F.round("score", 6)), "chi")
+    vocab = coo.vocabulary(scores.select("col").distinct(), "col")
+    path = scratch_path(spark, "chi-files")
+    io.write_chi(scores.join(vocab, scores["col"] == vocab["token"]).select("class", "idx", "score", evaluation.chi2_p("score").alias("p")), path)
+    return io.read_chi(spark, path).select("class", "idx", "score")
+
+
+@query(PAR_ROWS + "SELECT row_number() OVER (ORDER BY token) - 1 AS idx, token AS line FROM rows GROUP BY token HAVING count(*) >= 3")
+def word_index_file(spark: SparkSession, d: str) -> DataFrame:
+    """A vocabulary written as a file of words, whose line numbers are the indexes, and read back."""
+    path = scratch_path(spark, "words")
+    io.write_lines(coo.vocabulary(counts.word_rows(_pars(spark, d)), least=3).orderBy("idx").coalesce(1), path, "token")
+    return io.numbered_lines(spark, path)
+
+
 # ------------------------------------------------------------------ phrases
 
 PHRASE = ["admits", "the"]
@@ -630,7 +888,8 @@ def phrase_match(spark: SparkSession, d: str) -> DataFrame:
     return phrase.matches(lists, PHRASE).select("document", "paragraph_id")
 
 
-@query()
+@query(SENTENCES + """, one AS (SELECT document, paragraph_id, unnest(s) AS t, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sentence FROM sents)
+SELECT document, paragraph_id, sentence FROM one WHERE list_reduce(list_prepend(0, [CASE x WHEN 'admits' THEN 1 WHEN 'the' THEN 2 ELSE 0 END FOR x IN t]), lambda a, x: CASE WHEN a = 2 THEN 2 WHEN x = a + 1 THEN x ELSE 0 END) = 2""")
 def phrase_match_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Matches within one sentence, references counting as tokens, by the single scan."""
     s = _pars(spark, d).select("document", "paragraph_id", F.posexplode(text.sentence_tokens(F.col("text"))).alias("sentence", "tokens"))
