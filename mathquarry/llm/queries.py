@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mathquarry.llm import cluster, encode, names, neardup, ngrams, pack, split, words
+from mathquarry.llm import cluster, encode, names, neardup, ngrams, pack, split, sql, words
 from mathquarry.session import distinct_records, materialize, table
 
 #: Parameters of production.
@@ -131,4 +131,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express; the others are tested against brute force, round trips and the cases of the task."""
+    return {
+        "p2_found": sql.ngrams(1, RARE_RECORDS, COMMON_SHARE) + "SELECT field, ngram AS term, mark FROM marked WHERE mark IS NOT NULL",
+        "p2_terms": sql.ngrams(NGRAM_LENGTH, RARE_RECORDS, COMMON_SHARE) + "SELECT field, ngram, n_terms, n_occurrences, n_records, mark FROM marked",
+        "p5_found": sql.near_duplicates(),
+    }

@@ -468,3 +468,10 @@ FOUND = {
 @pytest.mark.parametrize("name", sorted(FOUND))
 def test_columns(spark, data, name):
     assert ", ".join(" ".join(c) for c in queries.queries()[name](spark, data).dtypes) == FOUND[name]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_agrees_with_sql(spark, data, name):
+    from tests.oracle import compare, duck
+
+    assert compare(spark, data, name, duck(data)) is None
