@@ -14,22 +14,28 @@ THEOREM_WORDS = (
 
 # The type each abbreviation stands for; "assuption" is spelled so in the stored data. Others stand for themselves.
 THEOREM_TYPES = {
-    "proposition": "prop pr pp propo", "theorem": "thm teo thmspec theo theof letterthm te mainth maintheorem thma introthm firstthm", "definition": "dfn def defin defn",
-    "remark": "uremark rem rmk re remk", "corollary": "cor coro co maincoro", "example": "expl exm", "lemma": "lem le lm sublemma", "acknowledgment": "ack acknowledgement acknow",
-    "assuption": "ass asm", "claim": "clm", "algorithm": "alg",
+    "prop": "proposition", "pr": "proposition", "pp": "proposition", "propo": "proposition",
+    "thm": "theorem", "teo": "theorem", "thmspec": "theorem", "theo": "theorem", "theof": "theorem", "th": "theorem", "letterthm": "theorem", "te": "theorem", "mainth": "theorem", "maintheorem": "theorem", "thma": "theorem", "introthm": "theorem", "firstthm": "theorem",
+    "dfn": "definition", "def": "definition", "defin": "definition", "defn": "definition",
+    "uremark": "remark", "rem": "remark", "rmk": "remark", "re": "remark", "remk": "remark",
+    "cor": "corollary", "coro": "corollary", "co": "corollary", "maincoro": "corollary",
+    "expl": "example", "exm": "example",
+    "lem": "lemma", "le": "lemma", "lm": "lemma", "sublemma": "lemma",
+    "ack": "acknowledgment", "acknowledgement": "acknowledgment", "acknow": "acknowledgment",
+    "ass": "assuption", "asm": "assuption",
+    "clm": "claim", "alg": "algorithm",
 }
 
-_PLACE = r"(?:c\d+\.)?(?:s|ch|a)x?"
-_SUB, _SUBSUB = r"\.(?:ss)?x?", r"\.(?:sss)?x?"
+# The grammar of the stored paragraph ids.
 THEOREM_ID = r"^(?:c\d+\.)?(?:(?:s|a|ch|c)x?\d+\.)?thm(" + "|".join(THEOREM_WORDS) + r")?(?:x|f|s|e)?(?:[a-z]x)?\d+(?:\.\d+)?(?:\.p\d+)?"
 
 #: Type, pattern, names of its groups; in the order in which the rules are tried, the first match winning.
 RULES = (
     ("top_level_paragraph", r"^p(\d+)", ("paragraph",)),
-    ("section_paragraph", rf"^{_PLACE}(\d+)(?:\.p(\d+))?", ("section", "paragraph")),
-    ("subsection_paragraph", rf"^{_PLACE}(\d+){_SUB}(\d+)(?:\.p(\d+))?", ("section", "subsection", "paragraph")),
-    ("subsubsection_paragraph", rf"^{_PLACE}(\d+){_SUB}(\d+){_SUBSUB}(\d+)(?:\.p?(\d+))?", ("section", "subsection", "subsubsection", "paragraph")),
-    ("subsubsection_paragraph_paragraph", rf"^{_PLACE}(\d+){_SUB}(\d+){_SUBSUB}(\d+)\.p?x?\d+\.p(\d+)", ("section", "subsection", "subsubsection", "paragraph")),
+    ("section_paragraph", r"^(?:c\d+\.)?(?:s|ch|a)x?(\d+)(?:\.p(\d+))?", ("section", "paragraph")),
+    ("subsection_paragraph", r"^(?:c\d+\.)?(?:s|ch|a)x?(\d+)\.(?:ss)?x?(\d+)(?:\.p(\d+))?", ("section", "subsection", "paragraph")),
+    ("subsubsection_paragraph", r"^(?:c\d+\.)?(?:s|ch|a)x?(\d+)\.(?:ss)?x?(\d+)\.(?:sss)?x?(\d+)(?:\.p?(\d+))?", ("section", "subsection", "subsubsection", "paragraph")),
+    ("subsubsection_paragraph_paragraph", r"^(?:c\d+\.)?(?:s|ch|a)x?(\d+)\.(?:ss)?x?(\d+)\.(?:sss)?x?(\d+)\.p?x?\d+\.p(\d+)", ("section", "subsection", "subsubsection", "paragraph")),
     ("appendix_paragraph", r"^ax?(\d+)\.p(\d+)", ("appendix", "paragraph")),
     ("itemize", r"^(?:(?:ch|a|s)\d+\.)?i(\d+)\.ix?(\d+)\.px?(\d+)", ("itemize", "item", "paragraph")),
     ("itemize", r"^i(\d+\.i\d+)\.ix?(\d+)\.px?(\d+)", ("itemize", "item", "paragraph")),
@@ -41,10 +47,8 @@ PARTS = ("section", "subsection", "subsubsection", "appendix", "itemize", "item"
 
 def theorem_type(abbreviation) -> Column:
     """The type an abbreviation stands for; unknown ones stay, none is NULL."""
-    out = abbreviation
-    for name, short in THEOREM_TYPES.items():
-        out = F.when(abbreviation.isin(short.split()), name).otherwise(out)
-    return F.when(abbreviation == "", F.lit(None)).otherwise(out)
+    known = F.create_map(*(F.lit(x) for pair in THEOREM_TYPES.items() for x in pair))
+    return F.when(abbreviation == "", F.lit(None)).otherwise(F.coalesce(F.try_element_at(known, abbreviation), abbreviation))
 
 
 def parse_paragraph_id(ident, mode: str = "reference") -> Column:

@@ -14,13 +14,13 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 REFERENCE = "<fid ([^>]+)>"
 LATEX = r"(?s)\\[A-Za-z]+|\\.|[A-Za-z0-9+\-*/_|\[\]()!<>=^]"
 
-# The stop list of review texts, in its natural order of frequency.
+# The stop list of review texts, as given.
 REVIEW_STOP_WORDS = (
     "the of and in is to for with that are on we it this by an be a problem model method result which "
     "paper par solution author can some if such also at using or show these where then given zbl"
 ).split()
 
-# Mathematicians whose names are looked for among text tokens, by their time.
+# Mathematicians whose names are looked for among text tokens, as given.
 MATHEMATICIANS = (
     "fibonacci kepler fermat pascal bernoulli leibniz newton euler lagrange monge laplace legendre fourier gauss cauchy abel jacobi dirichlet galois weierstrass "
     "cayley hermite kronecker riemann dedekind cantor klein hilbert minkowski hausdorff lebesgue weyl ramanujan banach neumann weil turing serre grothendieck perelman"

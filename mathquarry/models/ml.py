@@ -34,7 +34,7 @@ def kmeans(vectors: DataFrame, k: int = 63, iterations: int = 100, runs: int = 1
 def gaussian_mixture(vectors: DataFrame, k: int = 64, iterations: int = 100, runs: int = 1, seed: int = 0):
     """The best of ``runs`` seeds by likelihood.
 
-    Covariances are full; diagonal ones and a variational mixture, which aren't available, are this one too.
+    Covariances are full; ``diagonal_mixture`` has diagonal ones. A variational mixture, which isn't available, is this one too.
     """
     best = None
     for i in range(runs):
@@ -44,6 +44,93 @@ def gaussian_mixture(vectors: DataFrame, k: int = 64, iterations: int = 100, run
     return best
 
 
+@dataclass
+class DiagonalMixture:
+    """Weights, means and variances (k and k x dimensions), and the mean log-likelihood they reached."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    variances: np.ndarray
+    likelihood: float
+
+    def log_joint(self, x: np.ndarray) -> np.ndarray:
+        """Rows x components: log of weight times density."""
+        fixed = np.log(np.maximum(self.weights, 1e-300)) - 0.5 * np.log(2 * np.pi * self.variances).sum(axis=1)
+        inverse = 1 / self.variances
+        return fixed - 0.5 * (x**2 @ inverse.T - 2 * x @ (self.means * inverse).T + (self.means**2 * inverse).sum(axis=1))
+
+
+def _dense_rows(column) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.array(rows, dtype=np.float64).reshape(len(rows), -1)
+
+
+def diagonal_mixture(vectors: DataFrame, k: int = 64, iterations: int = 100, tolerance: float = 1e-4, seed: int = 0, floor: float = 1e-6) -> DiagonalMixture:
+    """Expectation and maximisation with diagonal covariances, from the centres of a k-means run.
+
+    Each round is one pass: sums of each component per task, added up by component; k rows of them reach the driver.
+    Variances are not below ``floor`` times the mean variance of all rows.  Stops when the mean log-likelihood gains less than ``tolerance``.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(vector_to_array("features").alias("x"))
+    centres = np.array(KMeans(k=k, maxIter=5, seed=seed).fit(vectors).clusterCenters())
+    size = centres.shape[1]
+
+    def one_pass(model: DiagonalMixture):
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches):
+            m = shared.value
+            n, first, second, total = np.zeros(len(m.weights)), np.zeros_like(m.means), np.zeros_like(m.means), 0.0
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = _dense_rows(b.column("x"))
+                joint = m.log_joint(x)
+                top = joint.max(axis=1, keepdims=True)
+                norm = top[:, 0] + np.log(np.exp(joint - top).sum(axis=1))
+                share = np.exp(joint - norm[:, None])
+                n, first, second, total = n + share.sum(axis=0), first + share.T @ x, second + share.T @ x**2, total + norm.sum()
+            flat = [np.concatenate([[n[i], total if i == 0 else 0.0], first[i], second[i]]) for i in range(len(n))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(flat, pa.list_(pa.float64()))], names=["i", "s"])
+
+        places = rows.mapInArrow(run, "i int, s array<double>").select("i", F.posexplode("s").alias("at", "v"))
+        sums = np.zeros((len(model.weights), 2 + 2 * size))
+        for r in places.groupBy("i", "at").agg(F.sum("v").alias("v")).collect():  # k times twice the dimensions
+            sums[r["i"], r["at"]] = r["v"]
+        shared.unpersist()
+        return sums
+
+    start = one_pass(DiagonalMixture(np.ones(1), centres.mean(axis=0, keepdims=True), np.ones((1, size)), 0.0))[0]
+    count = max(start[0], 1.0)
+    spread = np.maximum(start[2 + size :] / count - (start[2 : 2 + size] / count) ** 2, 0)
+    least = max(floor * spread.mean(), 1e-12)
+    model = DiagonalMixture(np.full(len(centres), 1 / len(centres)), centres, np.tile(np.maximum(spread, least), (len(centres), 1)), -math.inf)
+    for _ in range(iterations):
+        sums = one_pass(model)
+        n, likelihood = np.maximum(sums[:, 0], 1e-12), float(sums[:, 1].sum() / count)
+        means = sums[:, 2 : 2 + size] / n[:, None]
+        variances = np.maximum(sums[:, 2 + size :] / n[:, None] - means**2, least)
+        done = likelihood - model.likelihood < tolerance
+        model = DiagonalMixture(n / n.sum(), means, variances, likelihood)
+        if done:
+            break
+    return model
+
+
+def diagonal_labels(model: DiagonalMixture, vectors: DataFrame) -> DataFrame:
+    """(row_id, cluster): the likeliest component of each row."""
+    shared = vectors.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            best = shared.value.log_joint(_dense_rows(b.column("x"))).argmax(axis=1) if b.num_rows else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(best.astype(np.int32))], names=["row_id", "cluster"])
+
+    kind = vectors.schema["row_id"].dataType.simpleString()
+    return vectors.select("row_id", vector_to_array("features").alias("x")).mapInArrow(run, f"row_id {kind}, cluster int")
+
+
 def labels(model, vectors: DataFrame) -> DataFrame:
     return model.transform(vectors).select("row_id", F.col("prediction").alias("cluster"))
 

@@ -314,7 +314,7 @@ SELECT id, CASE WHEN regexp_matches(id, '^p\d+') THEN 'top_level_paragraph' WHEN
   WHEN regexp_matches(id, '^(?:(?:ch|a|s)\d+\.)?i\d+\.ix?\d+\.px?\d+') OR regexp_matches(id, '^i\d+\.i\d+\.ix?\d+\.px?\d+') THEN 'itemize' WHEN regexp_matches(id, '^id\d+') THEN 'id'
   WHEN regexp_matches(id, '""" + ids.THEOREM_ID + r"""') THEN 'theorem' END AS type,
   CASE WHEN NOT regexp_matches(id, '^(?:c\d+\.)?(?:s|ch|a)x?\d+') AND regexp_matches(id, '""" + ids.THEOREM_ID + r"""') THEN
-    CASE """ + " ".join(f"WHEN abbr IN ({', '.join(repr(a) for a in short.split())}) THEN '{name}'" for name, short in ids.THEOREM_TYPES.items()) + r""" WHEN abbr = '' THEN NULL ELSE abbr END END AS theorem_type FROM t""")
+    CASE """ + " ".join(f"WHEN abbr = '{short}' THEN '{name}'" for short, name in ids.THEOREM_TYPES.items()) + r""" WHEN abbr = '' THEN NULL ELSE abbr END END AS theorem_type FROM t""")
 def paragraph_id_types(spark: SparkSession, d: str) -> DataFrame:
     every = table(spark, d, "paragraph2").select(F.lower("paragraph_id").alias("id")).union(table(spark, d, "theorem").select(F.lower("paragraph_id"))).distinct()
     kind = ids.parse_paragraph_id(F.col("id"))
@@ -329,7 +329,7 @@ def _longest_sql() -> str:
         return f"struct_pack(rank := length(regexp_extract(id, '({pattern})', 1)), earlier := {-i}, type := '{name}', {fields})"
 
     every = ", ".join(one(i, *rule) for i, rule in enumerate(ids.RULES))
-    kinds = " ".join(f"WHEN abbr IN ({', '.join(repr(a) for a in short.split())}) THEN '{name}'" for name, short in ids.THEOREM_TYPES.items())
+    kinds = " ".join(f"WHEN abbr = '{short}' THEN '{name}'" for short, name in ids.THEOREM_TYPES.items())
     parts = ", ".join(f"CASE WHEN b.rank > 0 THEN {'regexp_replace(b.itemize, chr(92) || chr(46) || chr(105), chr(46))' if f == 'itemize' else 'b.' + f} END AS {f}" for f in ids.PARTS)
     return f"""WITH all_ids AS (SELECT DISTINCT lower(paragraph_id) AS id FROM paragraph2 UNION SELECT DISTINCT lower(paragraph_id) FROM theorem),
 c AS (SELECT id, list_max([{every}]) AS b FROM all_ids), k AS (SELECT id, b, CASE WHEN b.rank > 0 THEN b.abbreviation END AS abbr FROM c)
@@ -670,7 +670,7 @@ def _chi(spark, d):
     thms = distinct_records(table(spark, d, "theorem").select("document", "paragraph_id", "theorem_type", "text")).filter("theorem_type is not null")
     key = F.concat_ws("|", "document", "paragraph_id")
     rows = thms.select(key.alias("row_id"), F.explode(text.word_tokens(F.col("text"))).alias("col"))
-    cells = rows.groupBy("row_id", "col").agg(F.count("*").cast("double").alias("value"))
+    cells = materialize(rows.groupBy("row_id", "col").agg(F.count("*").cast("double").alias("value")), "cells")  # texts are tokenised once for all branches
     often = cells.groupBy("col").agg(F.sum("value").alias("s")).filter("s >= 3").select("col")
     labels = thms.select(key.alias("row_id"), F.col("theorem_type").alias("class"))
     return evaluation.chi2_scores(cells.join(often, "col", "left_semi"), labels)
@@ -913,17 +913,36 @@ def _theorem_vectors(spark, d):
 
 @query()
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
-    v = _embedded(spark, d).cache()
+    v = materialize(_embedded(spark, d), "vectors")  # read in every iteration
     return ml.labels(ml.kmeans(v, k=10, runs=3), v)
 
 
 @query()
 def gmm_labels(spark: SparkSession, d: str) -> DataFrame:
     v, _ = ml.svd(_embedded(spark, d), 8)
-    v = v.cache()
+    v = materialize(v, "vectors")
     return ml.labels(ml.gaussian_mixture(v, k=10, iterations=30), v)
 
 
+@query()
+def diagonal_mixture_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture with diagonal covariances."""
+    v = materialize(_embedded(spark, d), "vectors")
+    return ml.diagonal_labels(ml.diagonal_mixture(v, k=10, iterations=30), v)
+
+
+@query()
+def svd_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Documents reduced to few dimensions, then a classifier of one main class against the rest: its quality on held-out rows."""
+    v, raw = _theorem_vectors(spark, d)
+    reduced, _ = ml.svd(v, 10)
+    classes = raw.rows.join(_classes(spark, d), "document").select("row_id", "class")
+    first = classes.groupBy("class").count().orderBy(F.desc("count"), "class").first()["class"]
+    rows = materialize(reduced.join(classes, "row_id").select("row_id", "features", (F.col("class") == first).cast("int").alias("label")), "reduced")
+    train, test = ml.hash_split(rows, "row_id")
+    return evaluation.confusion(ml.predicted(ml.linear_svc(train), test))
+
+
 @query()
 def svd_lsa(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array

@@ -4,7 +4,7 @@ from mathquarry.plans import registry
 from tests.oracle import compare, duck
 
 WITH_SQL = sorted(registry.oracle_sql())
-MODELS = {"gmm_labels", "affinity_exemplars", "svd_lsa", "kmeans_labels", "linear_svc", "lda_topics", "word_neighbours", "mean_shift_clusters", "text_clusters"}
+MODELS = {"gmm_labels", "affinity_exemplars", "svd_lsa", "kmeans_labels", "linear_svc", "lda_topics", "word_neighbours", "mean_shift_clusters", "text_clusters", "diagonal_mixture_labels", "svd_classifier"}
 WITHOUT_SQL = sorted(set(registry.queries()) - set(WITH_SQL) - MODELS)
 
 
@@ -27,7 +27,7 @@ def run(spark, data, name):
 def test_label_models(spark, data):
     """Every item has one label of those there are, and more than one is used."""
     items = {r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
-    for name in ("kmeans_labels", "gmm_labels"):
+    for name in ("kmeans_labels", "gmm_labels", "diagonal_mixture_labels"):
         rows = run(spark, data, name)
         assert sorted(r["row_id"] for r in rows) == sorted(items) and {r["cluster"] for r in rows} <= set(range(10)) and len({r["cluster"] for r in rows}) > 1
     titles = run(spark, data, "text_clusters")
@@ -57,9 +57,10 @@ def test_topics_and_neighbours(spark, data):
 
 
 def test_classifier_is_better_than_chance(spark, data):
-    (r,) = run(spark, data, "linear_svc")
-    n = r["tp"] + r["fp"] + r["fn"] + r["tn"]
-    assert n > 0 and (r["tp"] + r["tn"]) / n >= max(r["tp"] + r["fn"], r["fp"] + r["tn"]) / n - 0.1
+    for name in ("linear_svc", "svd_classifier"):
+        (r,) = run(spark, data, name)
+        n = r["tp"] + r["fp"] + r["fn"] + r["tn"]
+        assert n > 0 and (r["tp"] + r["tn"]) / n >= max(r["tp"] + r["fn"], r["fp"] + r["tn"]) / n - 0.1
 
 
 def test_entry(spark):

@@ -69,3 +69,22 @@ def test_mentions(spark):
     names = spark.createDataFrame([("euler",), ("gauss",), ("euler",), (None,)], "token string")
     assert [tuple(r) for r in counts.mentions(rows, names).collect()] == [("euler", 2)]
     assert counts.mentions(rows, names.filter(F.lit(False))).count() == 0
+
+
+def test_diagonal_mixture(spark):
+    """Components of different spread along the axes are told apart; the likelihood is that of the true ones at least."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    from mathquarry.models import ml
+
+    rng = np.random.default_rng(4)
+    parts = [rng.normal([0, 0, 0], [1.5, 0.2, 1], (400, 3)), rng.normal([0, 4, 0], [1.5, 0.2, 1], (300, 3)), rng.normal([30, 2, 0], [0.3, 3, 1], (200, 3))]
+    rows = [(i, x.tolist(), j) for i, (j, x) in enumerate((j, x) for j, p in enumerate(parts) for x in p)]
+    v = spark.createDataFrame(rows, "row_id long, x array<double>, part int").withColumn("features", array_to_vector("x"))
+    model = ml.diagonal_mixture(v, k=3, iterations=60, seed=1)
+    true = ml.DiagonalMixture(np.array([4, 3, 2]) / 9, np.array([[0, 0, 0], [0, 4, 0], [30, 2, 0.0]]), np.array([[1.5, 0.2, 1], [1.5, 0.2, 1], [0.3, 3, 1]]) ** 2, 0.0)
+    joint = true.log_joint(np.concatenate(parts))
+    assert model.likelihood > np.log(np.exp(joint).sum(axis=1)).mean() - 0.1
+    found = ml.diagonal_labels(model, v).join(v, "row_id").groupBy("part", "cluster").count().collect()
+    assert sum(max(r["count"] for r in found if r["part"] == j) for j in range(3)) > 0.98 * len(rows)
