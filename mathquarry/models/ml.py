@@ -65,7 +65,12 @@ def _dense_rows(column) -> np.ndarray:
     return np.array(rows, dtype=np.float64).reshape(len(rows), -1)
 
 
-def diagonal_mixture(vectors: DataFrame, k: int = 64, iterations: int = 100, tolerance: float = 1e-4, seed: int = 0, floor: float = 1e-6) -> DiagonalMixture:
+def diagonal_mixture(vectors: DataFrame, k: int = 64, iterations: int = 100, runs: int = 1, seed: int = 0) -> DiagonalMixture:
+    """The best of ``runs`` seeds by likelihood."""
+    return max((_diagonal_run(vectors, k, iterations, seed + i) for i in range(runs)), key=lambda m: m.likelihood)
+
+
+def _diagonal_run(vectors: DataFrame, k: int, iterations: int, seed: int, tolerance: float = 1e-4, floor: float = 1e-6) -> DiagonalMixture:
     """Expectation and maximisation with diagonal covariances, from the centres of a k-means run.
 
     Each round is one pass: sums of each component per task, added up by component; k rows of them reach the driver.

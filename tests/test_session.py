@@ -82,7 +82,7 @@ def test_diagonal_mixture(spark):
     parts = [rng.normal([0, 0, 0], [1.5, 0.2, 1], (400, 3)), rng.normal([0, 4, 0], [1.5, 0.2, 1], (300, 3)), rng.normal([30, 2, 0], [0.3, 3, 1], (200, 3))]
     rows = [(i, x.tolist(), j) for i, (j, x) in enumerate((j, x) for j, p in enumerate(parts) for x in p)]
     v = spark.createDataFrame(rows, "row_id long, x array<double>, part int").withColumn("features", array_to_vector("x"))
-    model = ml.diagonal_mixture(v, k=3, iterations=60, seed=1)
+    model = ml.diagonal_mixture(v, k=3, iterations=40, runs=4)
     true = ml.DiagonalMixture(np.array([4, 3, 2]) / 9, np.array([[0, 0, 0], [0, 4, 0], [30, 2, 0.0]]), np.array([[1.5, 0.2, 1], [1.5, 0.2, 1], [0.3, 3, 1]]) ** 2, 0.0)
     joint = true.log_joint(np.concatenate(parts))
     assert model.likelihood > np.log(np.exp(joint).sum(axis=1)).mean() - 0.1
