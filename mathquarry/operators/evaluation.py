@@ -42,9 +42,19 @@ def group_members(members: DataFrame, group: str, member: str = "doc_id") -> Dat
     return members.select(group, member).distinct()
 
 
-def group_sets(members: DataFrame, group: str, member: str = "doc_id", most: int = 100_000) -> DataFrame:
-    """(group, members): the sorted set of each group's members; fails on a group of more than ``most``, for which ``group_members`` is."""
-    return bounded(group_members(members, group, member), group, most).groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("members"))
+def group_sets(members: DataFrame, group: str, member: str = "doc_id", most: int | None = None) -> DataFrame:
+    """(group, members): the sorted set of each group's members, however many; with ``most`` it fails on a larger group.
+
+    Members are range-partitioned, so a large group is spread and sorted in pieces; only its pieces meet, as
+    plain arrays that follow one another. The result holds a group in one row, which Spark limits to 2 GB.
+    """
+    each = group_members(members, group, member)
+    if most is not None:
+        each = bounded(each, group, most)
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = each.repartitionByRange(n, group, member).withColumn("_part", F.spark_partition_id())
+    pieces = placed.groupBy(group, "_part").agg(F.sort_array(F.collect_list(member)).alias("_piece"))
+    return pieces.groupBy(group).agg(F.flatten(F.sort_array(F.collect_list(F.struct("_part", "_piece"))).getField("_piece")).alias("members"))
 
 
 def percent(part, total):

@@ -40,6 +40,15 @@ def test_lists_are_bounded(spark):
     assert evaluation.group_members(rows, "g").count() == 4
 
 
+def test_sets_of_any_size(spark):
+    """A group of more than 100,000 members, in several range parts, some repeated; beside it small ones."""
+    n = 100_001
+    large = spark.range(n).selectExpr("'a' AS g", "id * 7919 % 100001 AS doc_id")
+    rows = large.union(large.limit(5)).union(spark.createDataFrame([("b", 3), ("b", 1), (None, 4)], "g string, doc_id long"))
+    got = {r["g"]: r["members"] for r in evaluation.group_sets(rows, "g").collect()}
+    assert got == {"a": list(range(n)), "b": [1, 3], None: [4]}
+
+
 def test_token_lists_in_pieces(spark):
     """Places in a document's list, whatever the range parts are; ties, nulls and a hot document included."""
     rows = [("hot", f"p{i:03d}", "aa bb cc"[: 3 * (i % 3) + 2]) for i in range(200)] + [("hot", "p000", "zz yy"), ("d", None, "xx yy"), ("d", "p1", None), ("d", "p1", "ww"), (None, "p", "vv uu tt")]
