@@ -9,16 +9,18 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.clustering import LDA, GaussianMixture, KMeans
+from pyspark.ml.clustering import LDA, GaussianMixture, KMeans, LocalLDAModel
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathquarry.session import materialize
+from mathquarry.session import discard, materialize
 
 
 def kmeans(vectors: DataFrame, k: int = 63, iterations: int = 100, runs: int = 10, seed: int = 0):
@@ -140,10 +142,32 @@ def labels(model, vectors: DataFrame) -> DataFrame:
     return model.transform(vectors).select("row_id", F.col("prediction").alias("cluster"))
 
 
-def lda(vectors: DataFrame, topics: int = 250, iterations: int = 20, seed: int = 0):
-    """A topic model by variational inference (not sampling). Weights are rounded to counts."""
-    counts = vectors.select("row_id", array_to_vector(F.transform(vector_to_array("features"), lambda x: F.round(x))).alias("features"))
-    return LDA(k=topics, maxIter=iterations, seed=seed).fit(counts)
+def whole_numbers(vectors: DataFrame) -> DataFrame:
+    """(row_id, features) with values rounded; sparse vectors stay sparse, dense ones dense."""
+
+    @F.pandas_udf(VectorUDT())
+    def make(kind: pd.Series, size: pd.Series, indices: pd.Series, values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"type": kind, "size": size.astype("Int32"), "indices": indices, "values": values})  # how a vector is stored
+
+    stored = vectors.select("row_id", F.unwrap_udt("features").alias("v"))
+    return stored.select("row_id", make("v.type", "v.size", "v.indices", F.transform("v.values", lambda x: F.round(x))).alias("features"))
+
+
+def lda(vectors: DataFrame, topics: int = 250, iterations: int = 20, seed: int = 0) -> LocalLDAModel:
+    """A topic model by variational inference (not sampling). Weights are rounded to counts.
+
+    Every iteration takes every row once and, as nothing is drawn, goes the whole step (an exponent of 0). Spark's estimator would
+    draw rows with replacement, a twentieth of them by default; that can be turned off in the optimizer below it only.
+    """
+    counts = materialize(whole_numbers(vectors), "counts")  # read in every iteration
+    spark = vectors.sparkSession
+    old, new = spark._jvm.org.apache.spark.mllib.clustering, spark._jvm.org.apache.spark.ml.clustering
+    rows = getattr(getattr(new, "LDA$"), "MODULE$").getOldDataset(counts._jdf, "features")
+    optimizer = old.OnlineLDAOptimizer().setMiniBatchFraction(1.0).setSampleWithReplacement(False).setKappa(0.0).setOptimizeDocConcentration(True)
+    fitted = old.LDA().setK(topics).setMaxIterations(iterations).setSeed(seed).setOptimizer(optimizer).run(rows)
+    discard(counts)
+    model = new.LocalLDAModel(LDA().uid, fitted.vocabSize(), fitted, spark._jsparkSession)
+    return LocalLDAModel(model)
 
 
 def topic_words(model, vocab: DataFrame, n: int = 10) -> DataFrame:

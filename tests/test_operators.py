@@ -266,3 +266,15 @@ def test_settings(spark, tmp_path):
     p = tmp_path / "c.json"
     p.write_text('{"min_token_count": 5, "other": 1}')
     assert Config.load(spark, str(p)) == Config(min_token_count=5)
+
+
+def test_topics_take_every_row(spark):
+    """Counts stay sparse, and each iteration takes each row once: the model doesn't depend on how rows are spread."""
+    from pyspark.ml.linalg import DenseVector, SparseVector, Vectors
+
+    mixed = spark.createDataFrame([(1, Vectors.sparse(4, [0, 2], [1.5, 0.2])), (2, Vectors.dense([0.5, 2.4, 0.0, 3.0]))], ["row_id", "features"])
+    assert {r["row_id"]: r["features"] for r in ml.whole_numbers(mixed).collect()} == {1: SparseVector(4, [0, 2], [2.0, 0.0]), 2: DenseVector([1.0, 2.0, 0.0, 3.0])}
+    rows = spark.createDataFrame([(i, Vectors.sparse(40, {20 * (i % 2) + (i * 7 + j * j) % 20: 1.0 + j % 3 for j in range(8)})) for i in range(200)], ["row_id", "features"])
+    models = [ml.lda(rows.repartition(n), topics=2, iterations=5) for n in (1, 5)]
+    first, second = (m.topicsMatrix().toArray() for m in models)
+    assert abs(first - second).max() < 1e-3 * first.max()
